@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, line_dedup, media, mixing, token_counts, topk, toxicity
+from tallymark.llm import bpe, line_dedup, media, mixing, near_dups, token_counts, topk, toxicity
 from tallymark.llm.common import documents
 
 BPE_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,6 +40,33 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(documents(spark, sf_dir), words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP4_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') as w
+  from documents),
+s as (
+  select doc_id, case len(w) when 0 then [] when 1 then w
+    else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w),
+e as (select doc_id, unnest(s) as g from s),
+n as (select doc_id, len(s)::bigint as n from s),
+p as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from e x join e y on x.g = y.g and x.doc_id < y.doc_id group by all),
+l as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+u as (select a, b from l union select b, a from l),
+r(a, b) as (select doc_id, doc_id from n union select r.a, u.b from r join u on r.b = u.a),
+m as (select a as doc_id, min(b) as component_id from r group by a)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from n join m using (doc_id)
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(documents(spark, sf_dir).select("doc_id", "text"), PIECES_PATH)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -88,6 +115,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_top_k": op3_top_k,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_mix_sources": op6_mix_sources,
     "op7_line_dedup": op7_line_dedup,
@@ -95,4 +123,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_top_k": OP3_SQL, "op6_mix_sources": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_top_k": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op6_mix_sources": mixing.MIX_SQL}
