@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, line_dedup, media, mixing, near_dups, token_counts, topk, toxicity
+from tallymark.llm import bpe, line_dedup, lm_score, media, mixing, near_dups, token_counts, topk, toxicity
 from tallymark.llm.common import documents
 
 BPE_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,6 +21,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(ids, BPE_PATH, public_tokenizers.PATTERN).select("doc_id", *bpe.digests(ids))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = lm_score.score(docs, lm_score.learn(docs.where(lm_score.is_training())))
+    held_out = (~lm_score.is_training()).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -114,6 +121,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_lm_score": op2_lm_score,
     "op3_top_k": op3_top_k,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
