@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, line_dedup, lm_score, media, mixing, near_dups, token_counts, topk, toxicity
+from tallymark.llm import bpe, license_scan, line_dedup, lm_score, media, mixing, near_dups, token_counts, topk, toxicity
 from tallymark.llm.common import documents
 
 BPE_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -101,6 +101,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source and the language are their directories."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id"))
+    files = documents(spark, sf_dir).select("doc_id", path.alias("path"), "text")
+    return license_scan.scan_licenses(files).select("doc_id", "path", "own_license", "cosine", "license", "inherited_from")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     stored = media.wrap_texts(docs).drop("text")
@@ -128,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
 }
 
