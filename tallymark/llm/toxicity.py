@@ -27,8 +27,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ WINDOW = 24
 
 @dataclass(frozen=True)
 class Settings:
-    toxic_rows: int = 3000
-    clean_rows: int = 6000
+    toxic_rows: int = 2000
+    clean_rows: int = 3000
     max_features: int = 50_000
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
     windows_per_text: int = 3
@@ -124,7 +125,7 @@ class Field:
 
 
 def features(word: str, prefixes: tuple[int, ...]) -> list[str]:
-    return ["=" + word, *(word[:n] for n in prefixes if len(word) >= n)]
+    return [*(word[:n] for n in prefixes if len(word) >= n), "=" + word]
 
 
 def sample(docs: DataFrame, labels: DataFrame, s: Settings, text: str = "text") -> list[tuple[str, int]]:
@@ -139,27 +140,23 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings, text: str = "text")
     return [(r.text, int(r.toxic)) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
-def _cover(sets: list[tuple[set[str], int]], s: Settings) -> set[str]:
-    """Features that explain the toxic documents, by greedy cover."""
-    n = [max(1, sum(y == k for _, y in sets)) for k in (0, 1)]
-    clean = Counter(f for fs, y in sets if not y for f in fs)
-    left = [fs for fs, y in sets if y]
-    all_toxic = Counter(f for fs in left for f in fs)
+def _cover(sets: list[np.ndarray], y: np.ndarray, n_features: int, s: Settings) -> np.ndarray:
+    """Features (by number) that explain the toxic documents, by greedy cover."""
+    n = np.maximum(1, [(y == 0).sum(), (y == 1).sum()])
+    empty = [np.empty(0, np.int32)]
+    clean, toxic = (np.bincount(np.concatenate([f for f, k in zip(sets, y) if k == v] or empty), minlength=n_features) for v in (0, 1))
     least = max(2, round(0.005 * n[1]))
-    fine = {f for f, c in all_toxic.items() if c >= least and clean[f] / n[0] <= s.leak * c / n[1]}
-    left = [fs & fine for fs in left]
-    counts = Counter(f for fs in left for f in fs)
-    taken: set[str] = set()
-    while counts:
-        best, c = max(counts.items(), key=lambda x: (x[1], -len(x[0]), x[0]))
-        if c < least:
-            break
-        taken.add(best)
-        for fs in left:
-            if best in fs:
-                counts.subtract(fs)
-        left = [fs for fs in left if best not in fs]
-    return taken
+    fine = (toxic >= least) & (clean / n[0] <= s.leak * toxic / n[1])
+    left = [f[fine[f]] for f, k in zip(sets, y) if k]
+    counts = np.bincount(np.concatenate(left or empty), minlength=n_features)
+    taken = []
+    while len(counts) and counts.max() >= least:
+        best = int(counts.argmax())  # the first of equals: a shorter beginning stands before longer ones
+        taken.append(best)
+        covered = [f for f in left if best in f]
+        counts -= np.bincount(np.concatenate(covered), minlength=n_features)
+        left = [f for f in left if best not in f]
+    return np.array(taken, np.int64)
 
 
 def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Field:
@@ -167,25 +164,37 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Field:
     if len({y for _, y in rows}) < 2:
         return Field(prefixes=s.prefixes)
     rng = np.random.default_rng(7)
-    of = _Memo(lambda w: features(w, s.prefixes))
-    words = [WORD.findall(t.lower()) for t, _ in rows]
-    taken = _cover([({f for w in set(ws) for f in of[w]}, y) for ws, (_, y) in zip(words, rows)], s)
-    hot = {w for ws in words for w in set(ws) if not taken.isdisjoint(of[w])}
-    near = {w[:3] for w in hot}
+    labels = np.array([k for _, k in rows])
+    place: defaultdict[str, int] = defaultdict(count().__next__)
+    number: defaultdict[str, int] = defaultdict(count().__next__)
+    texts = [np.fromiter(map(place.__getitem__, WORD.findall(t.lower())), np.int32) for t, _ in rows]
+    names = list(place)
+    of_word = [[number[f] for f in features(w, s.prefixes)] for w in names]
+    flat = np.fromiter(chain.from_iterable(of_word), np.int32)
+    starts = np.cumsum([0, *map(len, of_word)])
+    sets = []
+    for ws in texts:
+        used = np.unique(ws)
+        sets.append(np.unique(np.concatenate([flat[starts[w] : starts[w + 1]] for w in used])) if len(used) else np.empty(0, np.int32))
+    taken = np.zeros(len(number), bool)
+    taken[_cover(sets, labels, len(number), s)] = True
+    del sets
+    hot = np.array([taken[fs].any() for fs in of_word], bool)
+    near_starts = {names[i][:3] for i in np.flatnonzero(hot)}
+    near = np.array([w[:3] in near_starts for w in names], bool)
     windows: list[tuple[list[str], list[int]]] = []
-    for ws, (_, y) in zip(words, rows):
-        if not ws:
+    for ws, k in zip(texts, labels):
+        if not len(ws):
             continue
-        marks = [i for i, w in enumerate(ws) if (w in hot if y else w[:3] in near)]
-        centres = list(rng.permutation(marks)[: s.windows_per_text]) + [int(rng.integers(len(ws)))]
-        for c in centres:
-            a = max(0, int(c) - WINDOW // 2)
-            part = ws[a : a + WINDOW]
-            windows.append((part, [int(y and w in hot) for w in part]))
+        marks = np.flatnonzero((hot if k else near)[ws])
+        for c in [*rng.permutation(marks)[: s.windows_per_text], rng.integers(len(ws))]:
+            part = ws[max(0, int(c) - WINDOW // 2) :][:WINDOW]
+            windows.append(([names[w] for w in part], [int(k and hot[w]) for w in part]))
+    of = {w: features(w, s.prefixes) for w in {w for part, _ in windows for w in part}}
     vocab = {w: i for i, w in enumerate(dict.fromkeys(w for part, _ in windows for w in part))}
     seen = Counter(f for w in vocab for f in of[w])
-    names = [f for f, _ in seen.most_common(s.max_features)]
-    index = {f: i for i, f in enumerate(names)}
+    kept = [f for f, _ in seen.most_common(s.max_features)]
+    index = {f: i for i, f in enumerate(kept)}
     pairs = [(vocab[w], index[f]) for w in vocab for f in of[w] if f in index]
     pair_word, pair_feature = (np.array(x, np.int64) for x in zip(*pairs))
 
@@ -200,8 +209,8 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Field:
     both = mask[:, 1:]
     seen_moves = np.array([[(both & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
 
-    w, bias, moves = np.zeros(len(names)), -3.0, np.zeros((2, 2))
-    size = len(names) + 5
+    w, bias, moves = np.zeros(len(kept)), -3.0, np.zeros((2, 2))
+    size = len(kept) + 5
     m1, m2 = np.zeros(size), np.zeros(size)
     for step in range(1, s.steps + 1):
         unary = bias + np.bincount(pair_word, w[pair_feature], len(vocab))
@@ -210,17 +219,17 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Field:
         by_word = np.bincount(x.ravel(), miss.ravel(), len(vocab))
         g = np.concatenate(
             [
-                np.bincount(pair_feature, by_word[pair_word], len(names)) / n + s.l2 * w,
+                np.bincount(pair_feature, by_word[pair_word], len(kept)) / n + s.l2 * w,
                 [miss.sum() / n],
                 ((expected - seen_moves) / n + s.l2 * moves).ravel(),
             ]
         )
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = s.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-        w, bias, moves = w - move[: len(names)], bias - move[len(names)], moves - move[-4:].reshape(2, 2)
-    model = Field({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-4}, float(bias), tuple(map(float, moves.ravel())), prefixes=s.prefixes)
-    tops = np.array([max(model.marginals(ws), default=1e-12) for ws in words])
-    model.slope, model.shift = _calibrate(tops, np.array([t for _, t in rows], float))
+        w, bias, moves = w - move[: len(kept)], bias - move[len(kept)], moves - move[-4:].reshape(2, 2)
+    model = Field({f: float(v) for f, v in zip(kept, w) if abs(v) > 1e-4}, float(bias), tuple(map(float, moves.ravel())), prefixes=s.prefixes)
+    tops = np.array([max(model.marginals([names[w] for w in ws]), default=1e-12) for ws in texts])
+    model.slope, model.shift = _calibrate(tops, labels.astype(float))
     return model
 
 
