@@ -280,11 +280,11 @@ def _from_dict(d: dict | None) -> Node | None:
     return None if d is None else Node(**d | {"low": _from_dict(d["low"]), "high": _from_dict(d["high"])})
 
 
-def train(df: DataFrame, target: str = "DQ_SCORE", mode: str = "post_run", min_train: int | None = None, index: str = "calendar_date") -> Artifact:
-    """Validate, take the model with the least error (the naive one included) and fit it to all labelled rows."""
+def train(df: DataFrame, target: str = "DQ_SCORE", mode: str = "post_run", min_train: int | None = None, index: str = "calendar_date", only: str | None = None) -> Artifact:
+    """Validate, take the model with the least error (the naive one included) or ``only``, and fit it to all labelled rows."""
     df = for_mode(df, mode)
     scores = {r.model: r.RMSE for r in rmse(walk_forward(df, target, min_train, index)).collect()}
-    winner = min(scores, key=lambda m: (scores[m], m))
+    winner = only or min(scores, key=lambda m: (scores[m], m))
     rows = labelled(df, target)
     columns = numeric_columns(rows, f"{target}_next")
     data = rows.orderBy(index).select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(f"{target}_next").alias("label")).toPandas()

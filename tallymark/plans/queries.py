@@ -725,10 +725,10 @@ def ag20_weekdays(spark, sf):
 
 
 def _window_query(name: str, columns: list[str]) -> None:
-    @query(name, f"select calendar_date, {', '.join(_finite6(c) for c in columns)} from lagged")
+    @query(name, f"select calendar_date, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in columns)} from lagged")
     def one(spark, sf):
         df = events.add(series(spark, sf), {c: e for c, e in features.temporal().items() if c in columns})
-        return df.select("calendar_date", *[F.round(c, 6).alias(c) for c in columns])
+        return df.select("calendar_date", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in columns])
 
 
 _window_query("wn2_lags", [c for c in _TEMPORAL if "_lag_" in c])
@@ -923,7 +923,7 @@ def ml6_forecast(spark, sf):
 
 @query("ml13_tree_importances")
 def ml13(spark, sf):
-    artifact = forecast.train(_model_table(spark, sf), mode="pre_run")
+    artifact = forecast.train(_model_table(spark, sf), mode="pre_run", only="DecisionTree")
     return spark.createDataFrame(artifact.importances()[:10], "feature string, weight double")
 
 
