@@ -1 +1 @@
-"""Part of the engine."""
+"""Column expressions."""

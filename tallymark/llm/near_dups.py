@@ -8,13 +8,14 @@ a table's key joins two of the groups: 16 groups of 3 hashes make 120 tables of
 0.8 miss all tables with a probability of 2 in 10,000, and under 1 in 100,000 from
 0.85 on.
 
-Equal sets are one entry from the start.  Under a key, every entry is first
-compared with the least one only; confirmed links give components.  Then keys
-whose entries still belong to different components are compared across
-components, until no new link comes up, so that no pair inside a component is
-ever made.  Pairs are dropped before confirmation if their set sizes rule the
+Equal sets are one entry from the start.  Under a key, every entry is compared with
+the least one only; pairs are dropped before confirmation if their set sizes rule the
 similarity out or if the 48 minhashes agree in so few places (``LEAST``) that it is
-below one in a million.
+below one in a million.  The pairs left make regions of like entries, the confirmed
+ones components.  A region with more than one component is then compared across
+them: entries outside its largest component meet all its entries, in blocks of
+``BLOCK`` against ``BLOCK``, and a block returns only links that join components.  So no
+pair inside the largest component is made, and no row is made for a pair.
 
 Defined results: a document without words, or null, has an empty set, is linked
 with nothing and is kept; rows without doc_id take no part (their component is
@@ -29,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window  # noqa: I001
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,10 @@ from tallymark.llm.graph import components
 COLLECTIONS, HASHES = 16, 3
 #: Minhashes of 48 that must agree: similarity 0.8 gives 38 on average, fewer than 24 in about 2 of a million pairs.
 LEAST = 24
+#: Entries of one side of a task that compares across components, on average.
+BLOCK = 2048
+#: Ids that may be broadcast (8 bytes each) to pick their texts without shuffling all texts.
+FEW = 1_000_000
 
 _RNG = np.random.default_rng(20240229)
 #: Odd multipliers of the minhashes.
@@ -119,11 +124,17 @@ def _possible(pairs: DataFrame, entries: DataFrame, threshold: int) -> DataFrame
     return both.where(agree >= LEAST).select("a", "b")
 
 
+def _texts(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """id and text (t) of some documents, one row for each id."""
+    ids = written(ids, "near-ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids
+    return docs.select(F.col("doc_id").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, text: str) -> DataFrame:
     """Pairs whose full sets have the similarity."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), text).join(ids, "id").dropDuplicates(["id"])
-    texts = written(texts, "near-texts")
+    texts = written(_texts(ids, docs, text).withColumnRenamed("t", text), "near-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col(text).alias("x")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col(text).alias("y")), "b")
 
@@ -139,6 +150,69 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, te
     return written(linked, "near-links").where("linked").select("a", "b")
 
 
+def _links_across(ids: list[int], sides: list[tuple[bool, bool]], comps: list[int], texts: list[str], words: int, threshold: int) -> list[tuple[int, int]]:
+    """Links between components of two blocks, at most one for each pair of components that it joins."""
+    sets = [shingles(t or "", words) for t in texts]
+    mins = np.array([minhashes(s) for s in sets])
+    sizes, comp = np.array([len(s) for s in sets]), np.array(comps)
+    left, right = ([i for i, s in enumerate(sides) if s[k]] for k in (0, 1))
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    out = []
+    right_at = np.array(right)
+    for i in left:
+        near = (mins[right_at] == mins[i]).sum(1) >= LEAST
+        near &= 100 * np.minimum(sizes[right_at], sizes[i]) >= threshold * np.maximum(sizes[right_at], sizes[i])
+        near &= comp[right_at] != comp[i]
+        some = right_at[near]
+        if not len(some):
+            continue
+        flat = np.concatenate([sets[j] for j in some])
+        place = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+        common = np.add.reduceat((sets[i][place] == flat).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+        linked = 100 * common >= threshold * (sizes[i] + sizes[some] - common)
+        for j in some[linked]:
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[int(j)]))
+    return out
+
+
+def _across(tried: DataFrame, groups: DataFrame, docs: DataFrame, words: int, threshold: int, text: str) -> DataFrame:
+    """Links (a, b) between the components of each region."""
+    regions = components(tried).withColumnRenamed("component", "region")
+    named = regions.join(groups, "node", "left").select(F.col("node").alias("id"), "region", F.coalesce("component", "node").alias("c"))
+    named = written(named, "near-regions")
+    sizes = named.groupBy("region", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("n_in"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+    mixed = mixed.where("parts > 1").select("region", "largest", F.ceil(F.col("n_in") / BLOCK).alias("b_in"), F.ceil((F.col("n") - F.col("n_in")) / BLOCK).alias("b_out"))
+    rows = named.join(mixed, "region")
+    inside = F.col("c") == F.col("largest")
+    place = F.when(inside, F.col("b_out") + F.pmod(F.xxhash64("id"), F.col("b_in"))).otherwise(F.pmod(F.xxhash64("id"), F.col("b_out")))
+    others = F.when(inside, F.sequence(F.lit(0), F.col("b_out") - 1)).otherwise(F.sequence(F.lit(0), F.col("b_out") + F.col("b_in") - 1))
+    rows = rows.withColumn("place", place).withColumn("others", others)
+    rows = written(rows, "near-across")
+    met = _texts(rows.select("id"), docs, text).join(rows, "id").select("id", "region", "c", "t", "place", F.explode("others").alias("other"))
+    met = met.withColumn("lo", F.least("place", "other")).withColumn("hi", F.greatest("place", "other"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(block: pa.Table) -> pa.Table:
+        place, lo, hi = (block.column(c).to_pylist() for c in ("place", "lo", "hi"))
+        sides = [(p == x, p == y) for p, x, y in zip(place, lo, hi)]
+        found = []
+        if any(a for a, _ in sides) and any(b for _, b in sides):
+            found = _links_across(*(block.column("id").to_pylist(), sides, block.column("c").to_pylist(), block.column("t").to_pylist()), words, threshold)
+        return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return met.groupBy("region", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, text: str = "text") -> DataFrame:
     """Every row with n_shingles, component_id (smallest doc_id reachable) and kept; ``threshold`` is in hundredths."""
     docs = without(docs, "n_shingles", "mark", "mins", "component_id", "kept")
@@ -149,26 +223,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, text:
     entries = written(entries, "near-entries")
     of_key = Window.partitionBy("key")
     met = entries.select("id", F.explode(table_keys(F.col("mins"))).alias("key")).withColumn("first", F.min("id").over(of_key))
-    met = written(met.withColumn("n", F.count("*").over(of_key)).where("n > 1").select("key", "id", "first"), "near-met")
     pairs = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     tried = written(_possible(pairs, entries, threshold), "near-pairs")
     links = _confirmed(tried, plain, words, threshold, text)
-    while True:
-        groups = components(links)
-        labelled = met.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        open_ = written(labelled.join(mixed, "key"), "near-open")
-        left, right = open_.toDF("key", "a", "ca"), open_.toDF("key", "b", "cb")
-        # across components only: what is linked already is never paired again
-        across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-        new = written(_possible(across.join(tried, ["a", "b"], "left_anti"), entries, threshold), "near-pairs")
-        if new.isEmpty():
-            break
-        more = _confirmed(new, plain, words, threshold, text)
-        tried = tried.unionByName(new)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
+    more = written(_across(tried, components(links), plain, words, threshold, text), "near-across")
+    groups = components(links.unionByName(more))
     named = entries.select("mark", "id").join(groups, F.col("id") == F.col("node"), "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     known = drawn.where("mark is not null and doc_id is not null").join(named, "mark")
     alone = drawn.where("mark is null or doc_id is null").withColumn("component_id", F.col("doc_id"))

@@ -1 +1 @@
-"""Part of the engine."""
+"""Transformations of DataFrames."""

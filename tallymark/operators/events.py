@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions import features
+from tallymark.functions import classify, features, parse
 from tallymark.schema import NO_VIOLATIONS, NOT_APPLICABLE, NUMERIC_METRICS, check_mode
 
 
@@ -46,6 +46,21 @@ def flatten(parsed: DataFrame, mode: str = "as_coded") -> DataFrame:
     return parsed.select(*columns)
 
 
+def statuses(raw: DataFrame, mode: str = "as_coded") -> DataFrame:
+    """event_id, run_ts, status, test_family and violation_severity of raw rows, as ``flatten`` has them, without the rest."""
+    name = F.col("NAME_OF_TEST")
+    rows = raw.withColumn("TEST_FAMILY", classify.family(name)).withColumn("TEST_ROUTE", classify.route(F.col("TEST_FAMILY"), name))
+    rows = rows.select("EVENT_ID", "RUN_TIMESTAMP", "TEST_FAMILY", "SEVERITY_LEVEL", parse.status(mode).alias("status"))
+    clean = F.col("status") == "pass"
+    if check_mode(mode):
+        severity = F.when(clean, NO_VIOLATIONS).otherwise(F.coalesce(F.nullif("SEVERITY_LEVEL", F.lit("")), F.lit("HIGH SEVERITY")))
+    else:
+        severity = F.when(F.col("SEVERITY_LEVEL") == "", F.when(clean, NO_VIOLATIONS).otherwise("HIGH SEVERITY")).otherwise(F.col("SEVERITY_LEVEL"))
+    return rows.select(
+        F.col("EVENT_ID").alias("event_id"), F.col("RUN_TIMESTAMP").alias("run_ts"), "status", F.col("TEST_FAMILY").alias("test_family"), severity.alias("violation_severity")
+    )
+
+
 def event_features(flat: DataFrame, mode: str = "as_coded") -> DataFrame:
     """All event-level columns but the period statistics; one shuffle, by timestamp."""
     check_mode(mode)

@@ -1 +1 @@
-"""Part of the engine."""
+"""Compositions, reports, registered queries and the SQL that checks them."""

@@ -48,6 +48,10 @@ def flat(spark: SparkSession, sf: str) -> DataFrame:
     return events.flatten(parsed(spark, sf))
 
 
+def statuses(spark: SparkSession, sf: str) -> DataFrame:
+    return events.statuses(raw(spark, sf))
+
+
 def featured(spark: SparkSession, sf: str) -> DataFrame:
     return events.event_features(flat(spark, sf))
 
@@ -57,11 +61,15 @@ def engineered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def short(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily scores of the derived log: 19 days a month."""
-    filled = events.fill_forward(flat(spark, sf), ["status", "violation_severity"])
-    f = events.add(filled, features.status_flags())
-    own = flat(spark, sf).groupBy(F.to_date("run_ts").alias("calendar_date")).agg((F.count_if(F.col("status") == "pass") / F.count("*")).alias("DQ_SCORE"))
-    return daily.daily_scores(f).select("calendar_date", "TRUST_SCORE").join(own, "calendar_date").select("calendar_date", "DQ_SCORE", "TRUST_SCORE")
+    """The daily scores of the derived log: 19 days a month.
+
+    The trust score reads statuses carried forward, the pass rate those of the rows themselves.
+    """
+    own = statuses(spark, sf).withColumn("own_status", F.col("status"))
+    filled = events.fill_forward(own, ["status", "violation_severity"])
+    return filled.groupBy(F.to_date("run_ts").alias("calendar_date")).agg(
+        (F.count_if(F.col("own_status") == "pass") / F.count("*")).alias("DQ_SCORE"), F.expr(features.trust()).alias("TRUST_SCORE"), F.count("*").alias("total_tests")
+    )
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
@@ -390,7 +398,7 @@ def pf18(spark, sf):
 
 @query("pf19_failed_rows", "select event_id, run_ts, violation_severity from flat where status = 'fail'")
 def pf19(spark, sf):
-    return flat(spark, sf).where("status = 'fail'").select("event_id", "run_ts", "violation_severity")
+    return statuses(spark, sf).where("status = 'fail'").select("event_id", "run_ts", "violation_severity")
 
 
 @query("pf20_reindex", f"select calendar_date, {_r('DQ_SCORE')}, 0.0::double as missing_feature from series")
@@ -438,7 +446,7 @@ _LOST = f"case when status = 'fail' then {features.weight('violation_severity',
       full join (select run_ts::date as d, sum({features.weight('violation_severity', 0)}) as m from flat group by 1) t on f.d = t.d""",
 )
 def jn3(spark, sf):
-    return daily.failures_and_totals(flat(spark, sf))
+    return daily.failures_and_totals(statuses(spark, sf))
 
 
 @query("jn4_daily_stats", "select calendar_date, cast(daily_total_tests as bigint) as daily_total_tests, execution_time_mean, cast(execution_time_sum as bigint) as execution_time_sum, cast(records_processed_sum as bigint) as records_processed_sum from daily")
@@ -531,7 +539,7 @@ _DQ_WHOLE = [c for c in _DQ if c.endswith("_tests")]
 
 @query("ag4_dq_score", f"select calendar_date, {_r('DQ_SCORE', *[c for c in _DQ if c not in _DQ_WHOLE])}, {', '.join(f'cast({c} as bigint) as {c}' for c in _DQ_WHOLE)} from scored")
 def ag4(spark, sf):
-    f = events.add(flat(spark, sf), features.status_flags())
+    f = events.add(statuses(spark, sf), features.status_flags())
     sums = f.groupBy(F.to_date("run_ts").alias("calendar_date")).agg(
         *[F.sum(c).alias(f"daily_{c}_sum") for c in features.status_flags()], F.count("*").alias("daily_total_tests"), F.lit(None).cast("double").alias("TRUST_SCORE")
     )
@@ -541,18 +549,18 @@ def ag4(spark, sf):
 
 @query("ag5_trust_score", "select calendar_date, round(TRUST_SCORE, 6) as TRUST_SCORE from scores")
 def ag5(spark, sf):
-    filled = events.fill_forward(flat(spark, sf), ["status", "violation_severity"])
+    filled = events.fill_forward(statuses(spark, sf), ["status", "violation_severity"])
     return daily.daily_scores(filled).select("calendar_date", F.round("TRUST_SCORE", 6).alias("TRUST_SCORE"))
 
 
 @query("ag5_trust_score_unfilled", f"select run_ts::date as calendar_date, round({features.trust()}, 6) as TRUST_SCORE from flat group by 1")
 def ag5_plain(spark, sf):
-    return daily.daily_scores(flat(spark, sf)).select("calendar_date", F.round("TRUST_SCORE", 6).alias("TRUST_SCORE"))
+    return daily.daily_scores(statuses(spark, sf)).select("calendar_date", F.round("TRUST_SCORE", 6).alias("TRUST_SCORE"))
 
 
 @query("ag6_status_rates", f"""select run_ts, {', '.join(f'''round(count(*) filter (where status = '{s}') / nullif(count(status), 0), 4) as {s}_rate''' for s in ('pass', 'fail', 'error', 'skipped'))} from flat group by 1""")
 def ag6(spark, sf):
-    return daily.status_rates(flat(spark, sf))
+    return daily.status_rates(statuses(spark, sf))
 
 
 @query("ag7_weekly", f"select label, {', '.join(_WEEKLY)} from weekly")
@@ -680,7 +688,7 @@ _COUNT = "count(*) filter (where status = '{0}')"
 
 @query("ag18_status_summary", f"select count(*) as n, {_COUNT.format('pass')} as passed, {_COUNT.format('fail')} as failed, round(100.0 * {_COUNT.format('pass')} / count(*), 4) as pass_rate, round(100.0 * {_COUNT.format('fail')} / count(*), 4) as fail_rate from flat")
 def ag18_status(spark, sf):
-    return profile.status_summary(parsed(spark, sf))
+    return profile.status_summary(statuses(spark, sf))
 
 
 @query("ag19_sparsity", "select count(*) as n, (max(calendar_date) - min(calendar_date) + 1)::int as days, round(count(*) / (max(calendar_date) - min(calendar_date) + 1), 6) as sparsity from series")
@@ -691,7 +699,7 @@ def ag19(spark, sf):
 
 @query("ag20_status_distribution", "select status, count(*) as n from flat group by 1")
 def ag20_status(spark, sf):
-    return profile.distribution(flat(spark, sf), "status")
+    return profile.distribution(statuses(spark, sf), "status")
 
 
 @query("ag20_top_families", "select TEST_FAMILY, count(*) as n from classified group by 1 order by 2 desc, 1 limit 10")
@@ -955,9 +963,7 @@ def or8(spark, sf):
 
 @query("dq_daily_scores", f"select calendar_date, {_r('DQ_SCORE', 'TRUST_SCORE')}, cast(total_tests as bigint) as total_tests from (select *, daily_total_tests as n from scored)")
 def flagship(spark, sf):
-    df = short(spark, sf)
-    n = raw(spark, sf).groupBy(F.to_date("RUN_TIMESTAMP").alias("calendar_date")).agg(F.count("*").alias("total_tests"))
-    return df.join(n, "calendar_date").select("calendar_date", *[F.round(c, 6).alias(c) for c in features.SCORES], "total_tests")
+    return short(spark, sf).select("calendar_date", *[F.round(c, 6).alias(c) for c in features.SCORES], "total_tests")
 
 
 __all__ = ["PARSERS", "QUERIES", "SQL"]

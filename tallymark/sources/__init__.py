@@ -1 +1 @@
-"""Part of the engine."""
+"""Readers."""

@@ -1 +1 @@
-"""Part of the engine."""
+"""Nothing streams yet: the results that this engine reproduces are all batch results."""
