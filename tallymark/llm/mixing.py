@@ -43,11 +43,13 @@ def uniform(*parts: Column) -> Column:
 
 def poisson(rate: Column, u: Column) -> Column:
     """The Poisson distribution with this rate (at most RATE), inverted at u."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"))
+    # rate and u travel with the sums, so that the hash behind u is not made anew for each term
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("n"), rate.alias("rate"), u.alias("u"))
 
     def step(s: Column, k: Column) -> Column:
-        p = s["p"] * rate / k
-        return F.when(s["c"] >= u, s).otherwise(F.struct(p.alias("p"), (s["c"] + p).alias("c"), k.cast("int").alias("n")))
+        p = s["p"] * s["rate"] / k
+        more = F.struct(p.alias("p"), (s["c"] + p).alias("c"), k.cast("int").alias("n"), s["rate"].alias("rate"), s["u"].alias("u"))
+        return F.when(s["c"] >= s["u"], s).otherwise(more)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["n"])
 
