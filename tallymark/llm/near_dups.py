@@ -8,12 +8,15 @@ a table's key joins two of the groups: 16 groups of 3 hashes make 120 tables of
 0.8 miss all tables with a probability of 2 in 10,000, and under 1 in 100,000 from
 0.85 on.
 
-Equal sets are one entry from the start.  Under a key, every entry is compared with
-the least one only; pairs are dropped before confirmation if their set sizes rule the
+Equal sets are one entry from the start.  Under a key, every entry is first paired with
+the least one; pairs are dropped before confirmation if their set sizes rule the
 similarity out or if the 48 minhashes agree in so few places (``LEAST``) that it is
-below one in a million.  The pairs left make regions of like entries, the confirmed
-ones components.  A region with more than one component is then compared across
-them: entries outside its largest component meet all its entries, in blocks of
+below one in a million.  The confirmed ones make components.  Under each key that still
+holds several components, all pairs between them then pass the same filters: as rows in
+keys of up to ``SMALL`` entries, in blocks of ``BLOCK`` against ``BLOCK`` in larger ones,
+where a block returns only pairs that join components.  All pairs left make regions of
+like entries, so every pair of a key is ruled out, in one component or in one region.  A
+region with more than one component is then compared across them: entries outside its largest component meet all its entries, in blocks of
 ``BLOCK`` against ``BLOCK``, and a block returns only links that join components.  So no
 pair inside the largest component is made, and no row is made for a pair.
 
@@ -43,6 +46,8 @@ COLLECTIONS, HASHES = 16, 3
 LEAST = 24
 #: Entries of one side of a task that compares across components, on average.
 BLOCK = 2048
+#: Entries of a key up to which its pairs are rows.
+SMALL = 8
 #: Ids that may be broadcast (8 bytes each) to pick their texts without shuffling all texts.
 FEW = 1_000_000
 
@@ -150,6 +155,50 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: int, te
     return written(linked, "near-links").where("linked").select("a", "b")
 
 
+def _pairs_across(ids: np.ndarray, sides: np.ndarray, comps: np.ndarray, sizes: np.ndarray, mins: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Possible pairs between components of two blocks, just enough of them to join what any of them joins."""
+    left, right = (np.flatnonzero(sides[:, k]) for k in (0, 1))
+    label = np.unique(comps, return_inverse=True)[1]
+    out = []
+    for i in left:
+        some = right[label[right] != label[i]]
+        some = some[100 * np.minimum(sizes[some], sizes[i]) >= threshold * np.maximum(sizes[some], sizes[i])]
+        some = some[(mins[some] == mins[i]).sum(1) >= LEAST]
+        for at in np.unique(label[some], return_index=True)[1]:
+            j = some[at]
+            out.append((int(ids[i]), int(ids[j])))
+            label[label == label[j]] = label[i]
+    return out
+
+
+def _within_keys(met: DataFrame, entries: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """Possible pairs (a, b) between the components under each key, of which there may be any number."""
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))) for k in (0, 1)]
+    rows = met.where("n > 2").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    rows = written(rows, "near-keys")
+    parts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), *[m.alias(f"m{k}") for k, m in enumerate(marks)])
+    # keys with the same entries are one
+    open_keys = parts.where("c0 <> c1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n")
+    rows = written(rows.join(open_keys, "key"), "near-open")
+    few = rows.where(F.col("n") <= SMALL)
+    x, y = few.select("key", F.col("id").alias("a"), F.col("c").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
+    pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    many = rows.where(F.col("n") > SMALL).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("place", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")))
+    many = many.join(entries.select("id", "n_shingles", "mins"), "id")
+    many = many.select("key", "id", "c", "n_shingles", "mins", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    many = many.withColumn("lo", F.least("place", "other")).withColumn("hi", F.greatest("place", "other"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, c, sizes, place, lo, hi = (block.column(x).to_numpy() for x in ("id", "c", "n_shingles", "place", "lo", "hi"))
+        mins = block.column("mins").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        found = _pairs_across(ids, np.stack([place == lo, place == hi], axis=1), c, sizes, mins, threshold)
+        return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    large = many.groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+    return _possible(pairs, entries, threshold).unionByName(large.distinct())
+
+
 def _links_across(ids: list[int], sides: list[tuple[bool, bool]], comps: list[int], texts: list[str], words: int, threshold: int) -> list[tuple[int, int]]:
     """Links between components of two blocks, at most one for each pair of components that it joins."""
     sets = [shingles(t or "", words) for t in texts]
@@ -222,11 +271,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, text:
     entries = fit.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins"))
     entries = written(entries, "near-entries")
     of_key = Window.partitionBy("key")
-    met = entries.select("id", F.explode(table_keys(F.col("mins"))).alias("key")).withColumn("first", F.min("id").over(of_key))
+    met = entries.select("id", F.explode(table_keys(F.col("mins"))).alias("key"))
+    met = met.withColumn("first", F.min("id").over(of_key)).withColumn("n", F.count("*").over(of_key))
+    met = written(met.where("n > 1"), "near-met")
     pairs = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     tried = written(_possible(pairs, entries, threshold), "near-pairs")
     links = _confirmed(tried, plain, words, threshold, text)
-    more = written(_across(tried, components(links), plain, words, threshold, text), "near-across")
+    joined = components(links)
+    tried = tried.unionByName(written(_within_keys(met, entries, joined, threshold), "near-pairs"))
+    more = written(_across(tried, joined, plain, words, threshold, text), "near-across")
     groups = components(links.unionByName(more))
     named = entries.select("mark", "id").join(groups, F.col("id") == F.col("node"), "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     known = drawn.where("mark is not null and doc_id is not null").join(named, "mark")

@@ -185,6 +185,23 @@ def test_blocks_of_a_region_give_the_same_links(monkeypatch):
     assert label == brute_components(texts, 2, 80)[1]
 
 
+@pytest.mark.parametrize("holders, block", [(1, 2048), (30, 2048), (30, 7)])
+def test_near_duplicates_whose_keys_lead_to_other_documents(spark, monkeypatch, holders, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    a = [f"w{i}" for i in range(150)]
+    sets = near_dups.shingles(" ".join(a), 1)
+    least = set(near_dups._SPUN(sets[None, :]).argmin(axis=1))
+    passage = [w for w in a if int(np.flatnonzero(sets == near_dups.shingles(w, 1)[0])[0]) in least]
+    assert len(passage) < 0.6 * len(a)
+    # short holders of the words that make a's keys come first under all of them, and their sizes rule them out
+    crowd = [" ".join([*passage, *(f"h{i}-{k}" for k in range(20))]) for i in range(holders)]
+    texts = [*crowd, " ".join(a), " ".join([*a, "new", "words"])]
+    label = brute_components(texts, 1, 80)[1]
+    assert label[-1] == label[-2] == holders
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs(spark, texts), 1).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_near_duplicates_of_nothing_and_repeated_rows(spark, empty):
     assert near_dups.near_duplicates(empty).collect() == []
     df = spark.createDataFrame([(3, "a b c"), (3, "a b c"), (2, "a b c"), (None, "a b c")], "doc_id long, text string")
