@@ -295,6 +295,20 @@ def test_links_of_blocks_within_three_bits(spark):
                 assert (j, i) in shared
 
 
+@pytest.mark.parametrize("deal", [1024, 7])
+def test_links_of_all_pairs_of_a_crowded_key(spark, monkeypatch, deal):
+    monkeypatch.setattr(line_dedup, "DEAL", deal, raising=False)
+    rng = random.Random(7)
+    df = docs(spark, [f"the same line of many words with the number {i:03}" for i in range(60)])
+    entries = line_dedup.entries_of(line_dedup._lines(df, "text", 5)).drop("sim")
+    sims = {r.id: sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for r in entries.select("id").collect()}
+    signed = [(i, s - (1 << 64) if s >= 1 << 63 else s) for i, s in sims.items()]
+    entries = entries.join(spark.createDataFrame(signed, "id long, sim long"), "id")
+    brute = {(a, b) for a in sims for b in sims if a < b and bin(sims[a] ^ sims[b]).count("1") <= 3}
+    got = [(r.a, r.b) for r in line_dedup.links(entries, df, 0.8, "text").collect()]
+    assert set(got) == brute and len(got) == len(brute)
+
+
 def test_line_dedup_keeps_distinct_lines_and_columns(spark, empty):
     texts = [f"this is line number {i} of many\nand {i * 31} another {i * 17} one here" for i in range(30)]
     df = docs(spark, texts).withColumn("n_dropped", F.lit("clash"))
