@@ -208,8 +208,9 @@ def column_names(r: Column, intended: bool) -> Parsed:
     ch, ph = (found(r, rf"(?i){side}_col_names.*?hash\s*=\s*([A-Za-z0-9]+)") for side in ("curr", "prev"))
     added, removed, moved = F.array_sort(_minus(curr, prev)), F.array_sort(_minus(prev, curr)), _changed(curr, prev)
     alike = lambda c: F.filter(F.map_keys(prev), lambda p: (F.lower(p) == F.lower(c)) & (p != c))
-    cases = F.flatten(F.transform(F.map_keys(curr), lambda c: F.transform(alike(c), lambda p: F.struct(c.alias("k"), p.alias("v")))))
-    cases = F.map_from_entries(cases)
+    # one name may match several by case: the last in order stands for them
+    unlike = F.filter(F.map_keys(curr), lambda c: F.size(alike(c)) > 0)
+    cases = F.map_from_entries(F.transform(unlike, lambda c: F.struct(c.alias("k"), F.array_max(alike(c)).alias("v"))))
     if intended:  # a change of case alone is no change
         fold = lambda names, others: F.filter(names, lambda n: ~F.exists(F.map_keys(others), lambda o: F.lower(o) == F.lower(n)))
         added, removed = fold(added, prev), fold(removed, curr)

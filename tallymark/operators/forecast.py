@@ -36,6 +36,8 @@ class Node:
     at: float = 0.0
     low: Node | None = None
     high: Node | None = None
+    #: Squared error that the split removes.
+    gain: float = 0.0
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.low is None:
@@ -96,7 +98,8 @@ def tree(x: np.ndarray, y: np.ndarray, depth: int = 2, leaf: int = 2) -> Node:
     value = float(y.mean())
     if depth == 0 or len(y) < 2 * leaf or np.ptp(y) == 0:
         return Node(value)
-    best = (float(((y - value) ** 2).sum()) - 1e-12, -1, 0.0)
+    own = float(((y - value) ** 2).sum())
+    best = (own - 1e-12, -1, 0.0)
     order = np.argsort(x, axis=0, kind="stable")
     for j in range(x.shape[1]):
         xs, ys = x[order[:, j], j], y[order[:, j]]
@@ -111,7 +114,7 @@ def tree(x: np.ndarray, y: np.ndarray, depth: int = 2, leaf: int = 2) -> Node:
     if best[1] < 0:
         return Node(value)
     side = x[:, best[1]] <= best[2]
-    return Node(value, best[1], best[2], tree(x[side], y[side], depth - 1, leaf), tree(x[~side], y[~side], depth - 1, leaf))
+    return Node(value, best[1], best[2], tree(x[side], y[side], depth - 1, leaf), tree(x[~side], y[~side], depth - 1, leaf), own - best[0])
 
 
 #: Candidates: name -> (fit, whether columns are scaled first).
@@ -249,11 +252,14 @@ class Artifact:
         return self.fitted.predict((x - np.array(self.mean)) / np.array(self.scale) if MODELS[self.model][1] else x)
 
     def importances(self) -> list[tuple[str, float]]:
-        """Weights of a linear model or columns that a tree splits on, largest first."""
+        """Weights of a linear model, or the share of a tree's removed error that is each column's, largest first."""
         if isinstance(self.fitted, Linear):
             pairs = [(f, float(w)) for f, w in zip(self.features, self.fitted.weights) if abs(w) > 0]
         else:
-            pairs = [(self.features[j], 1.0) for j in _splits(self.fitted)]
+            gains: dict[int, float] = {}
+            for j, gain in _splits(self.fitted):
+                gains[j] = gains.get(j, 0.0) + gain
+            pairs = [(self.features[j], gain / sum(gains.values())) for j, gain in gains.items()]
         return sorted(pairs, key=lambda p: (-abs(p[1]), p[0]))
 
     def to_json(self) -> str:
@@ -268,8 +274,8 @@ class Artifact:
         return cls(**d)
 
 
-def _splits(node: Node | None) -> list[int]:
-    return [] if node is None or node.low is None else [node.feature, *_splits(node.low), *_splits(node.high)]
+def _splits(node: Node | None) -> list[tuple[int, float]]:
+    return [] if node is None or node.low is None else [(node.feature, node.gain), *_splits(node.low), *_splits(node.high)]
 
 
 def _to_dict(node: Node | None) -> dict | None:
@@ -309,21 +315,37 @@ def as_of(df: DataFrame, date: str | None, index: str = "calendar_date") -> Data
 
 
 def predict_as_of(df: DataFrame, artifact: Artifact | None, date: str | None, index: str = "calendar_date") -> DataFrame:
-    """date, model and predicted of the newest row not after a date; columns that it lacks read as 0.
+    """date, model, predicted and missing of the newest row not after a date.
 
-    Without an artifact, or where the row has no columns of it, the last value is the forecast.
+    ``missing`` counts the model's columns that the table lacks or the row has no finite value for; they read as 0.
+    Without an artifact, or where the row has no column of it or the model gives no finite number, the last value
+    is the forecast and the model's name says so.
     """
     row = as_of(df, date, index)
     target = artifact.target if artifact else "DQ_SCORE"
+    last = F.col(target).cast("double").alias("last")
     if artifact is None or not set(artifact.features) & set(df.columns):
-        return row.select(F.col(index).alias("date"), F.lit(NAIVE).alias("model"), F.col(target).cast("double").alias("predicted"))
-    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in artifact.features])
+        missing = F.lit(len(artifact.features) if artifact else 0).alias("missing")
+        return row.select(F.col(index).alias("date"), F.lit(NAIVE if artifact is None else f"{NAIVE} (fallback)").alias("model"), last.alias("predicted"), missing)
+    have = set(df.columns)
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    x = F.array(*[finite(F.col(c).cast("double")) if c in have else F.lit(None).cast("double") for c in artifact.features])
+    missing = F.size(F.filter("x", lambda v: v.isNull())).alias("missing")
 
     def one(batches):
         for pdf in batches:
-            yield pd.DataFrame({"date": pdf["date"], "model": artifact.model, "predicted": artifact.predict(np.stack(pdf["x"])) if len(pdf) else []})
-
-    return row.select(F.col(index).alias("date"), x.alias("x")).mapInPandas(one, "date date, model string, predicted double")
+            got = artifact.predict(np.stack(pdf["x"]).astype(float)) if len(pdf) else np.empty(0)
+            fine = np.isfinite(got)
+            yield pd.DataFrame({
+                "date": pdf["date"],
+                "model": np.where(fine, artifact.model, f"{NAIVE} (fallback)"),
+                "predicted": np.where(fine, got, pdf["last"]),
+                "missing": pdf["missing"],
+            })
+
+    rows = row.select(F.col(index).alias("date"), last, x.alias("x")).withColumn("missing", missing)
+    rows = rows.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
+    return rows.mapInPandas(one, "date date, model string, predicted double, missing int")
 
 
 def as_of_each(days: DataFrame, df: DataFrame, index: str = "calendar_date") -> DataFrame:

@@ -878,7 +878,7 @@ def ml5(spark, sf):
 
 @query("ml8_naive_serving", "select calendar_date as date, 'Naive(last_value)' as model, round(DQ_SCORE, 6) as predicted from scores order by calendar_date desc limit 1")
 def ml8(spark, sf):
-    return forecast.predict_as_of(short(spark, sf), None, None).withColumn("predicted", F.round("predicted", 6))
+    return forecast.predict_as_of(short(spark, sf), None, None).select("date", "model", F.round("predicted", 6).alias("predicted"))
 
 
 def _codes(target: str, mode: str) -> str:

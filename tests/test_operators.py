@@ -136,6 +136,50 @@ def test_models_recover_simple_relations():
     assert (forecast.tree(x, step).predict(x) == step).all()
 
 
+def test_tree_importances_are_shares_of_the_removed_error():
+    # first split: 24 of 25 in the second column; then 1 of 25 in the first one, within one side
+    x = np.array([[0, 0], [1, 0], [0, 1], [1, 1]] * 2, float)
+    y = np.array([0, 0, 3, 4] * 2, float)
+    fitted = forecast.tree(x, y, 2, 2)
+    weights = dict(forecast.Artifact("DecisionTree", "DQ_SCORE", ["a", "b"], "post_run", {}, fitted=fitted).importances())
+    total = ((y - y.mean()) ** 2).sum()
+    assert weights == pytest.approx({"b": (total - 1) / total, "a": 1 / total}) and sum(weights.values()) == pytest.approx(1)
+    # a column that splits twice counts once, with both gains
+    twice = forecast.tree(np.arange(8.0)[:, None], np.array([0, 0, 1, 1, 5, 5, 9, 9], float), 2, 2)
+    assert forecast.Artifact("DecisionTree", "DQ_SCORE", ["a"], "post_run", {}, fitted=twice).importances() == [("a", pytest.approx(1.0))]
+    assert forecast.Artifact("DecisionTree", "DQ_SCORE", ["a"], "post_run", {}, fitted=forecast.tree(x, y * 0, 2, 2)).importances() == []
+
+
+def test_ridge_against_the_normal_equations():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(20, 4)), rng.normal(size=20)
+    z = x - x.mean(0)
+    w = np.linalg.solve(z.T @ z + 5.0 * np.eye(4), z.T @ (y - y.mean()))
+    got = forecast.ridge(x, y, 5.0)
+    assert got.weights == pytest.approx(w) and got.bias == pytest.approx(y.mean() - x.mean(0) @ w)
+
+
+def test_elastic_net_meets_its_optimality_conditions():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 5))
+    y = x[:, 0] * 2 + rng.normal(size=30) * 0.1
+    got = forecast.elastic_net(x, y, 0.1, 0.5, tolerance=1e-10)
+    z = x - x.mean(0)
+    slope = z.T @ (y - y.mean() - z @ got.weights) / 30 - 0.05 * got.weights
+    assert all(abs(g) <= 0.05 + 1e-6 if w == 0 else g == pytest.approx(0.05 * np.sign(w), abs=1e-6) for g, w in zip(slope, got.weights))
+
+
+def test_serving_counts_missing_columns_and_falls_back(spark):
+    df = days(spark, [0.1, 0.2, 0.3], [1, 5, 9]).withColumn("odd", F.lit(float("nan")))
+    linear = lambda w, names: forecast.Artifact("Ridge", "DQ_SCORE", names, "post_run", {}, [0.0] * len(w), [1.0] * len(w), forecast.Linear(np.array(w), 0.25))
+    row = forecast.predict_as_of(df, linear([1.0, 7.0, 9.0], ["DQ_SCORE", "odd", "absent"]), None).first()
+    assert (row.model, row.missing) == ("Ridge", 2) and row.predicted == pytest.approx(0.55)
+    row = forecast.predict_as_of(df, linear([float("inf")], ["DQ_SCORE"]), None).first()
+    assert row.model.endswith("(fallback)") and row.predicted == pytest.approx(0.3)
+    row = forecast.predict_as_of(df, linear([1.0], ["absent"]), None).first()
+    assert row.model.endswith("(fallback)") and row.missing == 1
+
+
 def test_walk_forward_and_artifact(spark, tmp_path):
     df = days(spark, [0.5 + 0.3 * np.sin(i / 2) for i in range(16)])
     folds = forecast.walk_forward(df)

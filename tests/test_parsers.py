@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import classify
-from tallymark.functions.parse import parse_events
+from tallymark.functions.parse import column_names, parse_events
 from tallymark.schema import RAW
 
 H = "0" * 32
@@ -97,3 +97,9 @@ def test_context_levels(spark):
     meant = [tuple(r.c)[4:] for r in df.select(classify.context(*cols, mode="intended").alias("c")).collect()]
     assert coded == [("column", "D.S.T"), ("table", "D.S.T"), ("table", "D")]
     assert meant == [("table", "D.S.T"), ("table", "D.S.T"), ("database", "D")]
+
+
+def test_column_names_that_match_several_by_case_keep_the_last(spark):
+    text = "curr_col_names=NAME:1 hash=a1; prev_col_names=name:1, Name:2 hash=a1"
+    row = spark.createDataFrame([(text,)], "r string").select(*[c.alias(k) for k, c in column_names(F.col("r"), False).items() if k in ("case_mismatches", "columns_added")]).first()
+    assert row.case_mismatches == {"NAME": "name"} and row.columns_added == ["NAME"]
