@@ -75,10 +75,14 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder that the driver and all executors can reach.
 
-    It lies in the folder of ``spark.checkpoint.dir``; where that is unset, as in
-    local tests, in the warehouse folder.
+    It lies in the folder of ``spark.checkpoint.dir``.  Where that is unset, only a
+    local session has another: its warehouse.  A cluster must name one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -114,6 +114,6 @@ k as (
   from p, range(0, 65) as y(k)),
 c as (select doc_id, source, part, count(*) filter (where cdf < u) as n from k group by all),
 m as (select doc_id, source, sum(n)::int as n from c group by all)
-select doc_id, source, i::int as copy, md5('17|' || doc_id || '|' || i) as mix_key
-from m, range(1, 4097) as z(i) where i <= n
+select doc_id, source, i::int as copy, md5('17|' || doc_id || '|' || i) as mix_key, sha256(text) as text_sha256
+from m join documents using (doc_id, source), range(1, 4097) as z(i) where i <= n
 """

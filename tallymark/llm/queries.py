@@ -80,7 +80,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "copy", "mix_key")
+    """The copies with their texts, which go through the global shuffle; the digest is taken after it."""
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "copy", "mix_key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,7 +341,8 @@ def test_line_groups_against_brute_force_edit_similarity(spark, monkeypatch, dea
     # links found under shared keys, against all of them
     df = docs(spark, lines)
     entries = line_dedup.entries_of(df, "text")
-    rows = [(r.key, r.id, r.sim) for r in line_dedup.met(entries).collect()]
+    sims = {r.id: r.sim for r in entries.collect()}
+    rows = [(r.key, r.id, sims[r.id]) for r in line_dedup.met(entries).collect()]
     by = {}
     for key, i, sim in rows:
         by.setdefault(key, []).append((i, sim))
@@ -355,7 +356,7 @@ def test_lines_of_a_key_whose_least_entry_is_unlike_them(spark, monkeypatch):
     a, b = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
     lines = [f"{x} {y}" for x in (a, b) for y in ("one", "two", "three")]
     df = docs(spark, lines)
-    entries = line_dedup.entries_of(df, "text").withColumn("sim", F.lit(5).cast("long")).withColumn("sizes", F.array(*[F.lit(3)] * 6))
+    entries = line_dedup.entries_of(df, "text").withColumn("sim", F.lit(5).cast("long")).withColumns({"sizes": F.array(*[F.lit(3)] * 6), "codes": F.array(*[F.lit(9)] * 6)})
     groups = components(line_dedup.links(entries, df, 0.8, "text"))
     assert groups.count() == 6 and groups.select("component").distinct().count() == 2
     for deal in (1, 2):
