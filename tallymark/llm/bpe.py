@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from tallymark.llm.common import add_columns, texts_of
 
-#: Entries kept in each memo of a worker before it is emptied.
-MEMO = 400_000
+#: Entries kept in each memo of a worker before it is emptied (some 200 bytes each; an executor may run four workers with two memos).
+MEMO = 150_000
 #: The rank of a pair that does not merge.
 NONE = 1 << 40
 

@@ -46,6 +46,8 @@ COLLECTIONS, HASHES = 16, 3
 LEAST = 24
 #: Entries of one side of a task that compares across components, on average.
 BLOCK = 2048
+#: Shingles of one side of such a task, on average: some 12 MB of text and 8 MB of hashes.
+SETS = 1_000_000
 #: Entries of a key up to which its pairs are rows.
 SMALL = 8
 #: Ids that may be broadcast (8 bytes each) to pick their texts without shuffling all texts.
@@ -199,10 +201,9 @@ def _within_keys(met: DataFrame, entries: DataFrame, groups: DataFrame, threshol
     return _possible(pairs, entries, threshold).unionByName(large.distinct())
 
 
-def _links_across(ids: list[int], sides: list[tuple[bool, bool]], comps: list[int], texts: list[str], words: int, threshold: int) -> list[tuple[int, int]]:
+def _links_across(ids: list[int], sides: list[tuple[bool, bool]], comps: list[int], texts: list[str], mins: np.ndarray, words: int, threshold: int) -> list[tuple[int, int]]:
     """Links between components of two blocks, at most one for each pair of components that it joins."""
     sets = [shingles(t or "", words) for t in texts]
-    mins = np.array([minhashes(s) for s in sets])
     sizes, comp = np.array([len(s) for s in sets]), np.array(comps)
     left, right = ([i for i, s in enumerate(sides) if s[k]] for k in (0, 1))
     joined: dict[int, int] = {}
@@ -233,21 +234,24 @@ def _links_across(ids: list[int], sides: list[tuple[bool, bool]], comps: list[in
     return out
 
 
-def _across(tried: DataFrame, groups: DataFrame, docs: DataFrame, words: int, threshold: int, text: str) -> DataFrame:
-    """Links (a, b) between the components of each region."""
+def _across(tried: DataFrame, entries: DataFrame, groups: DataFrame, docs: DataFrame, words: int, threshold: int, text: str) -> DataFrame:
+    """Links (a, b) between the components of each region, in blocks bounded in entries and in shingles."""
     regions = components(tried).withColumnRenamed("component", "region")
     named = regions.join(groups, "node", "left").select(F.col("node").alias("id"), "region", F.coalesce("component", "node").alias("c"))
-    named = written(named, "near-regions")
-    sizes = named.groupBy("region", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.max("n").alias("n_in"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    mixed = mixed.where("parts > 1").select("region", "largest", F.ceil(F.col("n_in") / BLOCK).alias("b_in"), F.ceil((F.col("n") - F.col("n_in")) / BLOCK).alias("b_out"))
+    named = written(named.join(entries.select("id", "n_shingles", "mins"), "id"), "near-regions")
+    sizes = named.groupBy("region", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    largest = F.max_by(F.struct("c", "n", "s"), F.struct("n", "c")).alias("most")
+    mixed = sizes.groupBy("region").agg(largest, F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / SETS))
+    most = F.col("most")
+    mixed = mixed.select("region", most["c"].alias("largest"), blocks(most["n"], most["s"]).alias("b_in"), blocks(F.col("n") - most["n"], F.col("s") - most["s"]).alias("b_out"))
     rows = named.join(mixed, "region")
     inside = F.col("c") == F.col("largest")
     place = F.when(inside, F.col("b_out") + F.pmod(F.xxhash64("id"), F.col("b_in"))).otherwise(F.pmod(F.xxhash64("id"), F.col("b_out")))
     others = F.when(inside, F.sequence(F.lit(0), F.col("b_out") - 1)).otherwise(F.sequence(F.lit(0), F.col("b_out") + F.col("b_in") - 1))
-    rows = rows.withColumn("place", place).withColumn("others", others)
+    rows = rows.withColumn("place", place).withColumn("others", others).drop("n_shingles")
     rows = written(rows, "near-across")
-    met = _texts(rows.select("id"), docs, text).join(rows, "id").select("id", "region", "c", "t", "place", F.explode("others").alias("other"))
+    met = _texts(rows.select("id"), docs, text).join(rows, "id").select("id", "region", "c", "t", "mins", "place", F.explode("others").alias("other"))
     met = met.withColumn("lo", F.least("place", "other")).withColumn("hi", F.greatest("place", "other"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -256,7 +260,8 @@ def _across(tried: DataFrame, groups: DataFrame, docs: DataFrame, words: int, th
         sides = [(p == x, p == y) for p, x, y in zip(place, lo, hi)]
         found = []
         if any(a for a, _ in sides) and any(b for _, b in sides):
-            found = _links_across(*(block.column("id").to_pylist(), sides, block.column("c").to_pylist(), block.column("t").to_pylist()), words, threshold)
+            mins = block.column("mins").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)
+            found = _links_across(*(block.column(c).to_pylist() if c != "place" else sides for c in ("id", "place", "c", "t")), mins, words, threshold)
         return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
     return met.groupBy("region", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
@@ -271,7 +276,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, text:
     entries = fit.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("mins").alias("mins"))
     entries = written(entries, "near-entries")
     of_key = Window.partitionBy("key")
-    met = entries.select("id", F.explode(table_keys(F.col("mins"))).alias("key"))
+    # the entries lie in few files; making 120 keys of each is work for all tasks
+    dealt = entries.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    met = dealt.select("id", F.explode(table_keys(F.col("mins"))).alias("key"))
     met = met.withColumn("first", F.min("id").over(of_key)).withColumn("n", F.count("*").over(of_key))
     met = written(met.where("n > 1"), "near-met")
     pairs = met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
@@ -279,7 +286,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, text:
     links = _confirmed(tried, plain, words, threshold, text)
     joined = components(links)
     tried = tried.unionByName(written(_within_keys(met, entries, joined, threshold), "near-pairs"))
-    more = written(_across(tried, joined, plain, words, threshold, text), "near-across")
+    more = written(_across(tried, entries, joined, plain, words, threshold, text), "near-across")
     groups = components(links.unionByName(more))
     named = entries.select("mark", "id").join(groups, F.col("id") == F.col("node"), "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     known = drawn.where("mark is not null and doc_id is not null").join(named, "mark")

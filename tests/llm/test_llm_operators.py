@@ -177,7 +177,8 @@ def test_blocks_of_a_region_give_the_same_links(monkeypatch):
     rng = random.Random(8)
     texts = family(rng, 30, edits=9)
     n = len(texts)
-    links = near_dups._links_across(list(range(n)), [(True, True)] * n, list(range(n)), texts, 2, 80)
+    mins = np.array([near_dups.minhashes(near_dups.shingles(t, 2)) for t in texts])
+    links = near_dups._links_across(list(range(n)), [(True, True)] * n, list(range(n)), texts, mins, 2, 80)
     label = list(range(n))
     for _ in range(n):
         for a, b in links:
@@ -185,9 +186,10 @@ def test_blocks_of_a_region_give_the_same_links(monkeypatch):
     assert label == brute_components(texts, 2, 80)[1]
 
 
-@pytest.mark.parametrize("holders, block", [(1, 2048), (30, 2048), (30, 7)])
-def test_near_duplicates_whose_keys_lead_to_other_documents(spark, monkeypatch, holders, block):
+@pytest.mark.parametrize("holders, block, sets", [(1, 2048, 1_000_000), (30, 2048, 1000), (30, 7, 1_000_000)])
+def test_near_duplicates_whose_keys_lead_to_other_documents(spark, monkeypatch, holders, block, sets):
     monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "SETS", sets)
     a = [f"w{i}" for i in range(150)]
     sets = near_dups.shingles(" ".join(a), 1)
     least = set(near_dups._SPUN(sets[None, :]).argmin(axis=1))
