@@ -7,8 +7,9 @@ writer: it stores bytes as the samples of one track of raw 8-bit audio.
 
 Defined results: a null, empty or foreign binary has no tracks (an empty list)
 and the error text says why; damaged boxes end the walk with an error; 64-bit
-box sizes and chunk offsets are read; ties cannot occur; repeated rows give
-repeated results.
+box sizes and chunk offsets are read; of a container with movie fragments, the tracks
+list the samples outside them and the error says that they are not all; ties cannot
+occur; repeated rows give repeated results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from pyspark.sql import types as T
 
 from tallymark.llm.common import add_columns, texts_of
 
-#: Boxes that hold boxes.
-CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf", b"udta"})
 #: Bytes of one sample and samples of a second in what ``wrap`` writes.
 SAMPLE, RATE = 576, 8000
 #: Samples of one chunk.
@@ -173,7 +172,9 @@ def tracks(data: bytes | None) -> tuple[list[dict], str | None]:
     if not data:
         return [], "empty"
     try:
-        return [_track(data, t) for t in find(data, 0, len(data), b"moov", b"trak")], None
+        found = [_track(data, t) for t in find(data, 0, len(data), b"moov", b"trak")]
+        fragments = len(find(data, 0, len(data), b"moof"))
+        return found, f"{fragments} fragments hold samples that are not listed" if fragments else None
     except Damaged as e:
         return [], str(e)
     except (IndexError, struct.error, ValueError) as e:

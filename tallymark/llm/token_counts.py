@@ -16,10 +16,15 @@ exit state and a count.  No piece holds a space after another character, so
 from the first such place on, a chunk's exit state does not depend on the entry:
 a map is the chunk's head (up to there), the count of the rest and its exit
 state.  Maps compose associatively, and a text's count is their product over a
-balanced tree, so chunks can be mapped in any order and at the same time.
+balanced tree, so chunks can be mapped in any order and at the same time.  Here one task
+does so for a text, chunk by chunk; texts are what Spark deals.  A worker keeps the counts
+of whole words between two spaces that it met, so most words cost one look-up instead of a
+walk over transitions; a chunk without a space is one head.  The model's normaliser is
+taken to be the identity.
 
 Defined results: a null or empty text has no tokens; characters without a piece
-count as one token for each of their bytes, as the library's byte fallback does.
+count as one token for each of their bytes, as the library's byte fallback does;
+repeated rows get equal counts; an empty table gives an empty one.
 """
 
 from __future__ import annotations

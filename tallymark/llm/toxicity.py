@@ -15,8 +15,11 @@ log-odds of its most toxic token, fitted on the sampled labels; runs of
 tokens whose marginal is at least one half are its spans.
 
 The fit reads a sample of at most ``toxic_rows`` and ``clean_rows`` labelled
-rows, by the order of a hash of doc_id, in the driver; weights are kept for at
-most ``max_features`` features.  Both bounds hold at every size of the input.
+rows, by the order of a hash of doc_id, in the driver.  Of each sampled text, the cover
+and the calibration read all tokens; the gradient steps read at most
+``windows_per_text`` windows of ``WINDOW`` tokens around likely words and one at random.
+Weights are kept for at most ``max_features`` features.  These bounds concern the fit
+alone and hold at every size of the input.
 
 Defined results: a null or empty text has the score of a text without toxic
 tokens and no spans; a table without labels gives every text the score 0 and no
@@ -106,16 +109,14 @@ class Field:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
     def document(self, text: str) -> tuple[float, list[dict]]:
-        p = self.marginals(WORD.findall(text.lower()))
+        p = self.marginals(words(text))
         top = max(p, default=0.0)
         return self.score(top), self.spans(text, p) if top >= 0.5 else []
 
     def spans(self, text: str, p: list[float]) -> list[dict]:
         found: list[dict] = []
-        lower = text.lower()
-        # a few capitals grow in lower case; offsets then refer to the lower-cased text
         joined = False
-        for x, m in zip(p, WORD.finditer(lower)):
+        for x, m in zip(p, WORD.finditer(text)):
             if x >= 0.5 and joined:
                 found[-1] |= {"end": m.end(), "p": max(found[-1]["p"], x)}
             elif x >= 0.5:
@@ -124,6 +125,11 @@ class Field:
         return found
 
 
+def words(text: str) -> list[str]:
+    """Words in lower case, one for each match in the text as it is: a few capitals grow in lower case."""
+    return [w.lower() for w in WORD.findall(text)]
+
+
 def features(word: str, prefixes: tuple[int, ...]) -> list[str]:
     return [*(word[:n] for n in prefixes if len(word) >= n), "=" + word]
 
@@ -167,7 +173,7 @@ def fit(rows: list[tuple[str, int]], s: Settings = Settings()) -> Field:
     labels = np.array([k for _, k in rows])
     place: defaultdict[str, int] = defaultdict(count().__next__)
     number: defaultdict[str, int] = defaultdict(count().__next__)
-    texts = [np.fromiter(map(place.__getitem__, WORD.findall(t.lower())), np.int32) for t, _ in rows]
+    texts = [np.fromiter(map(place.__getitem__, words(t)), np.int32) for t, _ in rows]
     names = list(place)
     of_word = [[number[f] for f in features(w, s.prefixes)] for w in names]
     flat = np.fromiter(chain.from_iterable(of_word), np.int32)

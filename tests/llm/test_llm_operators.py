@@ -415,6 +415,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert 0 <= got[900].score < 0.5 and got[900].score == got[901].score and got[901].spans == []
 
 
+def test_spans_refer_to_the_text_as_it_is():
+    m = toxicity.Field({"=bad": 9.0}, -4.0, (0.0,) * 4, prefixes=())
+    text = "\u0130\u0130\u0130\u0130\u0130 BAD x"
+    assert [(x["start"], x["end"]) for x in m.document(text)[1]] == [(6, 9)]
+
+
+def test_columns_with_clashing_names_repeated_rows_and_empty_tables(spark, empty):
+    df = docs(spark, ["a b\nc d e f g h", "a b\nc d e f g h", None]).unionByName(docs(spark, ["a b\nc d e f g h"]))
+    clash = df.withColumns({c: F.lit("clash") for c in ("n_tokens", "over_limit", "n_bytes", "tracks", "media_error", "component_id", "kept", "copy", "mix_key")})
+    counted = token_counts.token_counts(clash, PIECES_PATH).collect()
+    assert len(counted) == 4 and {r.over_limit for r in counted} == {False} and counted[0].n_tokens == counted[1].n_tokens
+    assert token_counts.token_counts(empty, PIECES_PATH).collect() == []
+    media_rows = media.media_columns(media.wrap_texts(clash)).collect()
+    assert len(media_rows) == 4 and all(r.media_error is None and len(r.tracks) == 1 for r in media_rows)
+    assert media.media_columns(media.wrap_texts(empty)).collect() == []
+    near = {r.doc_id: r.component_id for r in near_dups.near_duplicates(clash, 2).collect()}
+    assert near == {0: 0, 1: 0, 2: 2}
+    mixed = mixing.mix(clash, {"s": 1.0}).collect()
+    assert all(r.copy >= 1 and len(r.mix_key) == 32 for r in mixed)
+    assert toxicity.tag(empty, toxicity.Field()).collect() == []
+
+
 def test_marginals_match_enumeration():
     m = toxicity.Field({"=a": 2.0, "=b": -1.0}, -0.5, (0.3, -0.7, -0.2, 0.9), prefixes=())
     words = ["a", "b", "c", "a"]
@@ -488,6 +510,8 @@ def test_media_key_frames_large_sizes_and_damage():
     assert media.tracks(data + wide) == media.tracks(data)
     for bad in (data[:-1], data[:100], b"no", b"\xff" * 64, data[:28] + b"\xff\xff\xff\xff" + data[32:]):
         assert media.tracks(bad)[0] == [] and media.tracks(bad)[1]
+    found, error = media.tracks(data + box(b"moof", box(b"mfhd", bytes(8))))
+    assert found == media.tracks(data)[0] and error.startswith("1 fragments")
     assert media.tracks(None) == ([], "empty") and media.tracks(b"") == ([], "empty")
 
 
