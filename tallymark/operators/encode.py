@@ -37,7 +37,10 @@ def for_regression(df: DataFrame) -> DataFrame:
 
 
 def one_hot(df: DataFrame, columns: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """0/1 columns for all values of a category but the first in order; the values are the bands, so few."""
+    """0/1 columns for all values of a category that occur but the first in order.
+
+    The columns are those that occur, as the encoded table holds no others; they are bands, so the list has a fixed bound.
+    """
     for c in columns:
         values = sorted(r[0] for r in df.select(c).distinct().where(F.col(c).isNotNull()).collect())
         df = df.withColumns({f"{c}_{v}": (F.col(c) == v).cast("double") for v in values[1:]}).drop(c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import classify, features, parse
+from tallymark.operators.stored import stored
 from tallymark.schema import NO_VIOLATIONS, NOT_APPLICABLE, NUMERIC_METRICS, check_mode
 
 
@@ -118,7 +119,8 @@ def engineer(parsed: DataFrame, mode: str = "as_coded") -> DataFrame:
 
     As intended, nothing is carried between unrelated tests: missing numbers stay missing.
     """
-    events = join_periods(event_features(flatten(parsed, mode), mode), mode)
+    # both period tables and the events themselves read this, filling forward twice over
+    events = join_periods(stored(event_features(flatten(parsed, mode), mode), "events"), mode)
     if check_mode(mode):
         return events
     return fill_forward(events, features.filled())
