@@ -4,6 +4,13 @@ A document with a text that toxicity tagging rejects goes; lines seen before go,
 and documents of which no word is left with them; one document of each group of
 near-duplicates stays; sources are mixed to tempered weights by replication; and
 texts are encoded.  Every stage but the last returns the columns of ``documents``.
+
+Defined results: a null or empty text is clean, keeps its one blank line, resembles
+nothing and has no tokens, so its document stays; a null doc_id or source is a value like
+others; repeated rows are rows of one document and stay together, but for near_dedup, which
+drops all rows of a document that is not kept; other columns are carried through, and where
+they have the name of a column made here (ids, n_tokens, round_trip), the new one stands;
+empty tables give an empty result.  doc_id is taken to name one text.
 """
 
 from __future__ import annotations
