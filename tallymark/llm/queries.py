@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, license_scan, line_dedup, lm_score, media, mixing, near_dups, token_counts, topk, toxicity
+from tallymark.llm import bpe, importance, license_scan, line_dedup, lm_score, media, mixing, near_dups, periodic_runs, quality, token_counts, topk, toxicity
 from tallymark.llm.common import documents
 
 BPE_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -128,6 +128,45 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep_text=False)
+    base = [f.name for f in quality.BASE]
+    return judged.select("doc_id", *base, "base_failed", "kept", F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"))
+
+
+def _tail_repeated(words: str, doc_id: str) -> Column:
+    """One document in ten, by a checksum of its id: from a word on, the words repeat with a period."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g, n = F.floor(h / 10).cast("long"), F.size(words).cast("long")
+    start = g % n
+    period = 1 + F.floor((n - start) / (3 + g % 8)).cast("long")
+    tail = F.transform(words, lambda w, i: F.when(i < start, w).otherwise(F.get(words, (start + (i - start) % period).cast("int"))))
+    return F.when((h % 10 == 0) & (n > 0), tail).otherwise(F.col(words))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", periodic_runs.words_of("text").alias("words"))
+    texts = docs.select("doc_id", F.array_join(_tail_repeated("words", "doc_id"), " ").alias("text"))
+    found = periodic_runs.periodic_runs(texts).drop("text").withColumn("best", periodic_runs.greatest("runs"))
+    exponent = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        exponent.alias("exponent_milli"),
+        periodic_runs.runs_digest("runs").alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    drawn = importance.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_lm_score": op2_lm_score,
@@ -139,6 +178,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_media_columns": op10_media_columns,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance_resample": op13_importance_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_top_k": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op6_mix_sources": mixing.MIX_SQL}
