@@ -1,7 +1,7 @@
 """Forecasts of the next score: labels, walk-forward validation, choice and refit of the best model.
 
-Folds are independent, so they are dealt over the cluster: each fold's training rows go to one
-task that fits all models with NumPy.  A daily table has a row for each day at most, so a fold is small.
+Linear models are fitted from sums of products, trees from sums by column and value, and both are served as one
+expression of their columns; the folds of the validation are dealt over the cluster in blocks.
 """
 
 from __future__ import annotations
@@ -12,124 +12,36 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators import gram, trees
+from tallymark.operators.gram import Linear
+from tallymark.operators.scan import numbered
+from tallymark.operators.stored import stored
 from tallymark.operators.temporal import numeric_columns
+from tallymark.operators.trees import Node, tree
 
 NAIVE = "Naive(last_value)"
 
 
-@dataclass(frozen=True)
-class Linear:
-    weights: np.ndarray
-    bias: float
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
-
-
-@dataclass(frozen=True)
-class Node:
-    value: float
-    feature: int = -1
-    at: float = 0.0
-    low: Node | None = None
-    high: Node | None = None
-    #: Squared error that the split removes.
-    gain: float = 0.0
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        if self.low is None:
-            return np.full(len(x), self.value)
-        return np.where(x[:, self.feature] <= self.at, self.low.predict(x), self.high.predict(x))
-
-
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float = 5.0) -> Linear:
-    """Least squares with a squared penalty, in the dual form as there are more columns than rows."""
-    mx, my = x.mean(0), y.mean()
-    z = x - mx
-    w = z.T @ np.linalg.solve(z @ z.T + alpha * np.eye(len(z)), y - my)
-    return Linear(w, float(my - mx @ w))
+    return gram.fit(gram.ridge, x, y, alpha=alpha)
 
 
 def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float = 0.1, l1: float = 0.5, rounds: int = 10_000, tolerance: float = 1e-4) -> Linear:
-    """Coordinate descent on (1/2n)|y - Xw|^2 + alpha l1 |w|_1 + alpha (1 - l1) / 2 |w|^2."""
-    n = len(x)
-    mx, my = x.mean(0), y.mean()
-    z, left = x - mx, y - my
-    w, size = np.zeros(z.shape[1]), (z * z).sum(0)
-    for _ in range(rounds):
-        most = 0.0
-        for j in np.flatnonzero(size):
-            old = w[j]
-            rho = z[:, j] @ left + size[j] * old
-            w[j] = np.sign(rho) * max(abs(rho) - n * alpha * l1, 0.0) / (size[j] + n * alpha * (1 - l1))
-            if w[j] != old:
-                left = left - z[:, j] * (w[j] - old)
-                most = max(most, abs(w[j] - old))
-        if most <= tolerance * max(np.abs(w).max(initial=0.0), 1e-12):
-            break
-    return Linear(w, float(my - mx @ w))
+    return gram.fit(gram.elastic_net, x, y, alpha=alpha, l1=l1, rounds=rounds, tolerance=tolerance)
 
 
 def bayesian_ridge(x: np.ndarray, y: np.ndarray, rounds: int = 300, tolerance: float = 1e-3, prior: float = 1e-6) -> Linear:
-    """Evidence maximisation of noise and weight precision with weak gamma priors."""
-    n = len(x)
-    mx, my = x.mean(0), y.mean()
-    z, t = x - mx, y - my
-    u, s, vt = np.linalg.svd(z, full_matrices=False)
-    eigen = s * s
-    noise, weight = 1.0 / (t.var() + 1e-15), 1.0
-    w = np.zeros(z.shape[1])
-    for _ in range(rounds):
-        old = w
-        w = vt.T @ ((s / (eigen + weight / noise)) * (u.T @ t))
-        gamma = float((noise * eigen / (weight + noise * eigen)).sum())
-        weight = (gamma + 2 * prior) / (float(w @ w) + 2 * prior)
-        noise = (n - gamma + 2 * prior) / (float(((t - z @ w) ** 2).sum()) + 2 * prior)
-        if np.abs(w - old).sum() < tolerance:
-            break
-    return Linear(w, float(my - mx @ w))
-
-
-def tree(x: np.ndarray, y: np.ndarray, depth: int = 2, leaf: int = 2) -> Node:
-    """A regression tree by least squared error; of equal splits, the first column and lowest value."""
-    value = float(y.mean())
-    if depth == 0 or len(y) < 2 * leaf or np.ptp(y) == 0:
-        return Node(value)
-    own = float(((y - value) ** 2).sum())
-    best = (own - 1e-12, -1, 0.0)
-    order = np.argsort(x, axis=0, kind="stable")
-    for j in range(x.shape[1]):
-        xs, ys = x[order[:, j], j], y[order[:, j]]
-        n = np.arange(1, len(ys))
-        a, b = np.cumsum(ys)[:-1], ys.sum() - np.cumsum(ys)[:-1]
-        error = (ys**2).sum() - a**2 / n - b**2 / (len(ys) - n)
-        fine = (xs[1:] > xs[:-1]) & (n >= leaf) & (len(ys) - n >= leaf)
-        if fine.any():
-            k = int(np.where(fine, error, np.inf).argmin())
-            if error[k] < best[0]:
-                best = (float(error[k]), j, float((xs[k] + xs[k + 1]) / 2))
-    if best[1] < 0:
-        return Node(value)
-    side = x[:, best[1]] <= best[2]
-    return Node(value, best[1], best[2], tree(x[side], y[side], depth - 1, leaf), tree(x[~side], y[~side], depth - 1, leaf), own - best[0])
-
-
-#: Candidates: name -> (fit, whether columns are scaled first).
-MODELS: dict[str, tuple[Callable, bool]] = {
-    "DecisionTree": (tree, False),
-    "ElasticNet": (elastic_net, True),
-    "BayesianRidge": (bayesian_ridge, True),
-    "Ridge": (ridge, True),
-}
-
-
-def scaler(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population deviation of columns; constant ones scale by 1."""
-    d = x.std(0)
-    return x.mean(0), np.where(d == 0, 1.0, d)
+    return gram.fit(gram.bayesian_ridge, x, y, rounds=rounds, tolerance=tolerance, prior=prior)
+
+
+TREE = "DecisionTree"
+#: Linear candidates, from the moments of standardised columns.
+LINEAR: dict[str, Callable[[gram.Centred], np.ndarray]] = {"ElasticNet": gram.elastic_net, "BayesianRidge": gram.bayesian_ridge, "Ridge": gram.ridge}
+#: Rows, and folds, of one task of the walk-forward validation.
+BLOCK = 128
 
 
 def without_future(df: DataFrame) -> DataFrame:
@@ -197,36 +109,59 @@ def fold_stats(df: DataFrame, columns: list[str], min_train: int | None = None,
     return rows.select(*[x.alias(n) for n, x in out.items()]).where(F.col("fold") >= first)
 
 
-def walk_forward(df: DataFrame, target: str = "DQ_SCORE", min_train: int | None = None, index: str = "calendar_date") -> DataFrame:
+def _arrays(rows: DataFrame, columns: list[str], label: str, *more: Column) -> DataFrame:
+    """The label as y and the columns as one array x, missing ones as 0."""
+    return rows.select(*more, F.col(label).cast("double").alias("y"), F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
+
+
+def walk_forward(df: DataFrame, target: str = "DQ_SCORE", min_train: int | None = None, index: str = "calendar_date", block: int = BLOCK) -> DataFrame:
     """fold, date, actual, model and pred of every candidate and the naive forecast.
 
-    Fold t trains on rows before t: rows join the folds after them, and each fold is one group.
+    Fold t trains on the rows before t.  The table is stored once with its rows numbered.  For the linear models, each
+    block of rows gives its moments, a prefix sum over blocks gives what lies before each, and the block's task adds its
+    rows one by one and fits from the sums: no row goes to a second task.  A tree needs its rows, so a block's folds
+    share one group with the rows up to the block's end: each row goes once to every later block, not to every fold.
     """
     label = f"{target}_next"
     rows = labelled(df, target)
     columns = numeric_columns(rows, label)
-    first = first_fold(n := rows.count(), min_train)
-    x = rows.select(
-        F.col(index).alias("date"),
-        (F.row_number().over(Window.orderBy(index)) - 1).alias("t"),
-        F.col(label).cast("double").alias("y"),
-        F.coalesce(F.col(target).cast("double"), F.lag(label).over(Window.orderBy(index))).alias("naive"),
-        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"),
-    )
-    spread = x.withColumn("fold", F.explode(F.sequence(F.greatest("t", F.lit(first)), F.lit(n - 1))))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        fold, test = int(pdf["fold"].iloc[0]), pdf.iloc[-1]
-        a, y = np.stack(pdf["x"].to_numpy()[:-1]), pdf["y"].to_numpy()[:-1]
-        b = test["x"][None, :]
-        mean, scale = scaler(a)
-        pred = {NAIVE: test["naive"]}
-        for name, (fit, scaled) in MODELS.items():
-            pred[name] = float(fit((a - mean) / scale if scaled else a, y).predict((b - mean) / scale if scaled else b)[0])
-        return pd.DataFrame([(fold, test["date"], test["y"], m, float(p)) for m, p in pred.items()], columns=["fold", "date", "actual", "model", "pred"])
-
-    return spread.groupBy("fold").applyInPandas(one, "fold int, date date, actual double, model string, pred double")
+    naive = F.coalesce(F.col(target).cast("double"), F.lag(label).over(Window.orderBy(index))).alias("naive")
+    x = numbered(stored(_arrays(rows, columns, label, F.col(index).cast("date").alias("date"), naive), "labelled"), [F.col("date")], "t")
+    x = x.withColumn("block", F.floor(F.col("t") / block).cast("long"))
+    n = x.count()
+    first, top = first_fold(n, min_train), (n - 1) // block
+    shift = gram.shift_of(x)
+    before = gram.before_blocks(gram.block_moments(x, shift), top)
+    schema = "fold int, date date, actual double, model string, pred double"
+
+    def lines(t: int, date, y: float, pred: dict[str, float]) -> list[tuple]:
+        return [(t, date, y, m, float(p)) for m, p in pred.items()]
+
+    def linear(own: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        sums = gram.Moments.from_bytes(earlier["moments"].iloc[0]) if len(earlier) else gram.Moments(len(shift[0]))
+        out: list[tuple] = []
+        for r in own.sort_values("t").itertuples():
+            here = (np.asarray(r.x) - shift[0]) / shift[1]
+            if r.t >= first:
+                c = sums.centred()
+                z = (here - c.mean) / c.scale
+                out += lines(r.t, r.date, r.y, {NAIVE: r.naive} | {m: c.label + z @ solve(c) for m, solve in LINEAR.items()})
+            sums.add(here, r.y)
+        return pd.DataFrame(out, columns=["fold", "date", "actual", "model", "pred"])
+
+    def trees_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t").reset_index(drop=True)
+        a, y, out = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(float), []
+        for t in range(max(first, int(pdf["to"].iloc[0]) * block), len(pdf)):
+            fitted = trees.tree(a[:t], y[:t])
+            out += lines(t, pdf["date"].iloc[t], y[t], {TREE: fitted.predict(a[t : t + 1])[0]})
+        return pd.DataFrame(out, columns=["fold", "date", "actual", "model", "pred"])
+
+    tested = x.where(F.col("block") >= first // block)
+    by_sums = tested.groupBy("block").cogroup(before.where(f"block <= {top}").groupBy("block")).applyInPandas(linear, schema)
+    later = F.explode(F.sequence(F.greatest("block", F.lit(first // block)), F.lit(top)))
+    by_rows = x.select("t", "date", "y", "x", later.alias("to")).groupBy("to").applyInPandas(trees_of, schema)
+    return by_sums.unionByName(by_rows)
 
 
 def rmse(folds: DataFrame) -> DataFrame:
@@ -249,7 +184,22 @@ class Artifact:
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.model == NAIVE:
             return x[:, self.features.index(self.target)]
-        return self.fitted.predict((x - np.array(self.mean)) / np.array(self.scale) if MODELS[self.model][1] else x)
+        return self.fitted.predict((x - np.array(self.mean)) / np.array(self.scale) if self.model in LINEAR else x)
+
+    def column(self, x: list[Column]) -> Column:
+        """The forecast as one expression of the features' columns, in their order: no Python at run time.
+
+        The terms of a linear model are added in pairs, then pairs of pairs, so that the expression is flat.
+        """
+        if self.model == NAIVE:
+            return x[self.features.index(self.target)]
+        if self.model not in LINEAR:
+            return self.fitted.column(x)
+        terms = [(c - float(m)) / float(s) * float(w) for c, m, s, w in zip(x, self.mean, self.scale, self.fitted.weights) if w != 0]
+        terms.append(F.lit(float(self.fitted.bias)))
+        while len(terms) > 1:
+            terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+        return terms[0]
 
     def importances(self) -> list[tuple[str, float]]:
         """Weights of a linear model, or the share of a tree's removed error that is each column's, largest first."""
@@ -257,7 +207,7 @@ class Artifact:
             pairs = [(f, float(w)) for f, w in zip(self.features, self.fitted.weights) if abs(w) > 0]
         else:
             gains: dict[int, float] = {}
-            for j, gain in _splits(self.fitted):
+            for j, gain in self.fitted.splits() if self.fitted else []:
                 gains[j] = gains.get(j, 0.0) + gain
             pairs = [(self.features[j], gain / sum(gains.values())) for j, gain in gains.items()]
         return sorted(pairs, key=lambda p: (-abs(p[1]), p[0]))
@@ -274,10 +224,6 @@ class Artifact:
         return cls(**d)
 
 
-def _splits(node: Node | None) -> list[tuple[int, float]]:
-    return [] if node is None or node.low is None else [(node.feature, node.gain), *_splits(node.low), *_splits(node.high)]
-
-
 def _to_dict(node: Node | None) -> dict | None:
     return None if node is None else node.__dict__ | {"low": _to_dict(node.low), "high": _to_dict(node.high)}
 
@@ -286,21 +232,30 @@ def _from_dict(d: dict | None) -> Node | None:
     return None if d is None else Node(**d | {"low": _from_dict(d["low"]), "high": _from_dict(d["high"])})
 
 
+def fit(rows: DataFrame, model: str, target: str, columns: list[str], label: str, mode: str = "post_run", scores: dict[str, float] | None = None) -> Artifact:
+    """One candidate fitted to all rows with a label: a linear one from their moments, a tree level by level.
+
+    Only sums come to the driver: as many as pairs of columns, or a row for each node of the tree.
+    """
+    artifact = Artifact(model, target, columns, mode, scores or {})
+    if model == TREE:
+        artifact.fitted = trees.grow(rows, label, columns)
+    elif model != NAIVE:
+        x = _arrays(rows.where(F.col(f"`{label}`").isNotNull()), columns, label)
+        shift = gram.shift_of(x)
+        c = gram.total(x, shift).centred()
+        artifact.mean, artifact.scale = (shift[0] + c.mean * shift[1]).tolist(), (c.scale * shift[1]).tolist()
+        artifact.fitted = Linear(LINEAR[model](c), c.label)
+    return artifact
+
+
 def train(df: DataFrame, target: str = "DQ_SCORE", mode: str = "post_run", min_train: int | None = None, index: str = "calendar_date", only: str | None = None) -> Artifact:
     """Validate, take the model with the least error (the naive one included) or ``only``, and fit it to all labelled rows."""
-    df = for_mode(df, mode)
+    df = stored(for_mode(df, mode), "model-table")
     scores = {r.model: r.RMSE for r in rmse(walk_forward(df, target, min_train, index)).collect()}
-    winner = only or min(scores, key=lambda m: (scores[m], m))
     rows = labelled(df, target)
     columns = numeric_columns(rows, f"{target}_next")
-    data = rows.orderBy(index).select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], F.col(f"{target}_next").alias("label")).toPandas()
-    x, y = data[columns].to_numpy(float), data["label"].to_numpy(float)
-    mean, scale = scaler(x)
-    fitted = None
-    if winner != NAIVE:
-        fit, scaled = MODELS[winner]
-        fitted = fit((x - mean) / scale if scaled else x, y)
-    return Artifact(winner, target, columns, mode, scores, mean.tolist(), scale.tolist(), fitted)
+    return fit(rows, only or min(scores, key=lambda m: (scores[m], m)), target, columns, f"{target}_next", mode, scores)
 
 
 def forecast(df: DataFrame, artifact: Artifact, index: str = "calendar_date") -> DataFrame:
@@ -314,38 +269,40 @@ def as_of(df: DataFrame, date: str | None, index: str = "calendar_date") -> Data
     return rows.orderBy(F.desc(index)).limit(1)
 
 
-def predict_as_of(df: DataFrame, artifact: Artifact | None, date: str | None, index: str = "calendar_date") -> DataFrame:
-    """date, model, predicted and missing of the newest row not after a date.
+def predict(df: DataFrame, artifact: Artifact | None, index: str = "calendar_date") -> DataFrame:
+    """date, model, predicted and missing for every row: what would have been served as of its date.
 
     ``missing`` counts the model's columns that the table lacks or the row has no finite value for; they read as 0.
-    Without an artifact, or where the row has no column of it or the model gives no finite number, the last value
-    is the forecast and the model's name says so.
+    Without an artifact, or where the table has no column of it or the model gives no finite number, the last value
+    is the forecast and the model's name says so.  The model is one expression of its columns.
     """
-    row = as_of(df, date, index)
     target = artifact.target if artifact else "DQ_SCORE"
-    last = F.col(target).cast("double").alias("last")
-    if artifact is None or not set(artifact.features) & set(df.columns):
+    date, last = F.col(index).alias("date"), F.col(target).cast("double")
+    have = {c.lower() for c in df.columns}
+    if artifact is None or not {f.lower() for f in artifact.features} & have:
         missing = F.lit(len(artifact.features) if artifact else 0).alias("missing")
-        return row.select(F.col(index).alias("date"), F.lit(NAIVE if artifact is None else f"{NAIVE} (fallback)").alias("model"), last.alias("predicted"), missing)
-    have = set(df.columns)
-    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
-    x = F.array(*[finite(F.col(c).cast("double")) if c in have else F.lit(None).cast("double") for c in artifact.features])
-    missing = F.size(F.filter("x", lambda v: v.isNull())).alias("missing")
-
-    def one(batches):
-        for pdf in batches:
-            got = artifact.predict(np.stack(pdf["x"]).astype(float)) if len(pdf) else np.empty(0)
-            fine = np.isfinite(got)
-            yield pd.DataFrame({
-                "date": pdf["date"],
-                "model": np.where(fine, artifact.model, f"{NAIVE} (fallback)"),
-                "predicted": np.where(fine, got, pdf["last"]),
-                "missing": pdf["missing"],
-            })
-
-    rows = row.select(F.col(index).alias("date"), last, x.alias("x")).withColumn("missing", missing)
-    rows = rows.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
-    return rows.mapInPandas(one, "date date, model string, predicted double, missing int")
+        return df.select(date, F.lit(NAIVE if artifact is None else f"{NAIVE} (fallback)").alias("model"), last.alias("predicted"), missing)
+
+    def finite(c: str) -> Column:
+        value = F.col(f"`{c}`").cast("double")
+        return F.when(F.abs(value) < float("inf"), value)  # NaN is above infinity
+
+    served = {c: finite(c) for c in artifact.features if c.lower() in have}
+    missing = F.array_size(F.filter(F.array(*served.values()), lambda v: v.isNull())) + (len(artifact.features) - len(served))
+    got = artifact.column([F.coalesce(served[c], F.lit(0.0)) if c in served else F.lit(0.0) for c in artifact.features])
+    rows = df.select(date, last.alias("last"), got.cast("double").alias("got"), missing.cast("int").alias("missing"))
+    fine = F.coalesce(F.abs("got") < float("inf"), F.lit(False))
+    return rows.select(
+        "date",
+        F.when(fine, artifact.model).otherwise(f"{NAIVE} (fallback)").alias("model"),
+        F.when(fine, F.col("got")).otherwise(F.col("last")).alias("predicted"),
+        "missing",
+    )
+
+
+def predict_as_of(df: DataFrame, artifact: Artifact | None, date: str | None, index: str = "calendar_date") -> DataFrame:
+    """``predict`` for the newest row not after a date."""
+    return predict(as_of(df, date, index), artifact, index)
 
 
 def as_of_each(days: DataFrame, df: DataFrame, index: str = "calendar_date") -> DataFrame:

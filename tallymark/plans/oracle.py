@@ -283,6 +283,39 @@ def back(c: str, source: str = _D) -> str:
     return f"coalesce(first_value(case when not isnan({c}) then {c} end ignore nulls) over (order by {source} rows between current row and unbounded following), 0)"
 
 
+#: Columns of the tree queries: those of the long series that are never infinite.
+TREE_COLUMNS = [*features.SCORES, *(c for c in features.temporal() if "pct_change" not in c and "momentum" not in c)]
+
+
+def _best(cells: str) -> str:
+    """The split of each node that removes most of the squared error of y, with both sides' numbers and sums."""
+    return f"""
+      select node, f, (v + nv) / 2 as cut, gain, nl, sl, nt - nl as nr, st - sl as sr from (
+        select *, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) - st * st / nt as gain from (
+          select node, f, v, lead(v) over upto as nv, sum(n) over upto as nl, sum(s) over upto as sl, sum(n) over whole as nt, sum(s) over whole as st
+          from (select node, f, v, count(*) as n, sum(y) as s from ({cells}) group by all)
+          window upto as (partition by node, f order by v), whole as (partition by node, f))
+        where nv is not null and nl >= 2 and nt - nl >= 2)
+      where gain > 1e-12 qualify row_number() over (partition by node order by round(gain, 9) desc, f, v) = 1"""
+
+
+def _side(table: str) -> str:
+    """The node of the second level that a row's cells of the split column put it in."""
+    return f"select c.calendar_date, case when c.v <= b.cut then 2 else 3 end as node from {table} c join best1 b on c.f = b.f"
+
+
+#: A tree of two levels over the long series, with leaves of two rows or more.
+TREE = {
+    "frame": f"select calendar_date, lead(DQ_SCORE) over (order by calendar_date) as label, * exclude (calendar_date) from (select calendar_date, {', '.join(f'coalesce(round({c}, 6), 0) as {c}' for c in TREE_COLUMNS)} from lagged)",
+    "taught": "select calendar_date, label - (select avg(label) from frame) as y, * exclude (calendar_date, label) from frame where label is not null",
+    "places": f"select unnest(range({len(TREE_COLUMNS)})) as f, unnest([{', '.join(repr(c) for c in TREE_COLUMNS)}]) as name",
+    "cells": f"select calendar_date, y, f, v from ((select * from taught) unpivot (v for name in ({', '.join(TREE_COLUMNS)}))) join places using (name)",
+    "served": f"select calendar_date, f, v from ((select * from frame) unpivot (v for name in ({', '.join(TREE_COLUMNS)}))) join places using (name)",
+    "best1": _best("select 1 as node, f, v, y from cells"),
+    "best2": _best(f"select s.node, c.f, c.v, c.y from cells c join ({_side('cells')}) s using (calendar_date)"),
+    "splits": "select b.*, p.name as feature from (select * from best1 union all select * from best2) b join places p using (f)",
+}
+
 CTES: dict[str, str] = {
     "raw": f"select {', '.join(derived_sql(chr(106) + 'son_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ')'))} from events where day(ts) not in ({', '.join(map(str, SILENT_DAYS))})",
     "classified": f"select * exclude (STATUS), {_chain(CATEGORY_RULES, 'OTHER')} as TEST_CATEGORY, {_chain(FAMILY_RULES, 'OTHER')} as TEST_FAMILY from raw",
@@ -299,6 +332,7 @@ CTES: dict[str, str] = {
     "series": "select cast(o_orderdate as date) as calendar_date, avg(case when o_orderstatus = 'F' then 1.0 else 0.0 end) as DQ_SCORE, "
     "avg(case when o_orderpriority like '1%' or o_orderpriority like '2%' then 1.0 else 0.0 end) as TRUST_SCORE from orders group by 1",
     "lagged": _more(features.temporal(), "series"),
+    **TREE,
     "gapped": _more(GAPS, f"(select *, {_SINCE} as days_since_last_measurement from series)"),
 }
 

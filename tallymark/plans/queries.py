@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import classify, features
 from tallymark.functions.parse import PARSERS, parse_events
-from tallymark.operators import daily, encode, events, forecast, irregular, profile, temporal
+from tallymark.operators import daily, encode, events, forecast, irregular, profile, temporal, trees
+from tallymark.operators.stored import stored
 from tallymark.plans import oracle
 from tallymark.plans.oracle import sql
 from tallymark.plans.pipeline import events_to_daily, irregular_table, standard
@@ -910,7 +911,18 @@ def ml12(spark, sf):
 
 
 def _model_table(spark, sf):
-    return irregular_table(temporal.temporal_features(short(spark, sf)))
+    """The wide daily table of the derived log, as models see it."""
+    return stored(irregular_table(standard(parsed(spark, sf))), "model-table")
+
+
+def _tree_frame(spark, sf):
+    """The long series with its temporal columns, rounded alike in both engines."""
+    rounded = [F.coalesce(F.round(c, 6), F.lit(0.0)).alias(c) for c in oracle.TREE_COLUMNS]
+    return stored(lagged(spark, sf).select("calendar_date", *rounded), "tree-frame")
+
+
+def _fitted(frame, model, columns):
+    return forecast.fit(forecast.labelled(frame), model, "DQ_SCORE", columns, "DQ_SCORE_next")
 
 
 @query("ml4_walk_forward")
@@ -918,6 +930,12 @@ def ml4(spark, sf):
     return forecast.walk_forward(_model_table(spark, sf))
 
 
+@query("ml4_walk_forward_series")
+def ml4_series(spark, sf):
+    """Over the long series: as many folds as it has days beyond the first part."""
+    return forecast.walk_forward(_tree_frame(spark, sf))
+
+
 @query("ml6_sl2_model_rmse")
 def ml6(spark, sf):
     return forecast.rmse(forecast.walk_forward(_model_table(spark, sf)))
@@ -929,10 +947,55 @@ def ml6_forecast(spark, sf):
     return forecast.forecast(df, forecast.train(df))
 
 
-@query("ml13_tree_importances")
+@query("ml1_tree_splits", "select node::int as node, feature, round(cut, 6) as threshold, round(gain, 6) as gain, nl::bigint as n_low, nr::bigint as n_high from splits")
+def ml1(spark, sf):
+    """The splits of the tree over the long series, as its levels find them."""
+    frame = _tree_frame(spark, sf)
+    rows = forecast.labelled(frame)
+    mean = rows.agg(F.avg("DQ_SCORE_next")).first()[0]
+    rows = rows.withColumn("y", F.col("DQ_SCORE_next") - mean).withColumn("node", F.lit(1))
+    first = trees.best_splits(rows, oracle.TREE_COLUMNS, leaf=2)
+    cut = first.select("feature", "at").first()
+    side = F.when(F.col(oracle.TREE_COLUMNS[cut["feature"]]) <= cut["at"], 2).otherwise(3)
+    both = first.unionByName(trees.best_splits(rows.withColumn("node", side), oracle.TREE_COLUMNS, leaf=2))
+    name = F.array(*[F.lit(c) for c in oracle.TREE_COLUMNS])[F.col("feature")]
+    return both.select("node", name.alias("feature"), F.round("at", 6).alias("threshold"), F.round("gain", 6).alias("gain"), "n_low", "n_high")
+
+
+@query("ml13_tree_importances", "select feature, round(sum(gain) / (select sum(gain) from splits), 6) as weight from splits group by feature")
 def ml13(spark, sf):
-    artifact = forecast.train(_model_table(spark, sf), mode="pre_run", only="DecisionTree")
-    return spark.createDataFrame(artifact.importances()[:10], "feature string, weight double")
+    artifact = _fitted(_tree_frame(spark, sf), forecast.TREE, oracle.TREE_COLUMNS)
+    return spark.createDataFrame([(f, round(w, 6)) for f, w in artifact.importances()], "feature string, weight double")
+
+
+@query(
+    "ml8_tree_serving",
+    f"""select calendar_date as date, 'DecisionTree' as model, 0 as missing,
+      round((select avg(label) from frame) + case when b.node is null then case when s.node = 2 then r.sl / r.nl else r.sr / r.nr end
+        when c.v <= b.cut then b.sl / b.nl else b.sr / b.nr end, 6) as predicted
+      from ({oracle._side('served')}) s cross join best1 r left join best2 b on b.node = s.node left join served c using (calendar_date) where coalesce(c.f = b.f, c.f = 0)""",
+)
+def ml8_tree(spark, sf):
+    """What the tree would have served as of every day, as one expression."""
+    frame = _tree_frame(spark, sf)
+    served = forecast.predict(frame, _fitted(frame, forecast.TREE, oracle.TREE_COLUMNS))
+    return served.select("date", "model", "missing", F.round("predicted", 6).alias("predicted"))
+
+
+@query(
+    "ml8_linear_serving",
+    """select calendar_date as date, 'Ridge' as model, 0 as missing, round(my + w1 * (DQ_SCORE - m1) / s1 + w2 * (TRUST_SCORE - m2) / s2, 6) as predicted
+      from frame, (select *, (c1 * (n + 5) - c2 * n * r) / d as w1, (c2 * (n + 5) - c1 * n * r) / d as w2 from (
+        select *, (n + 5) * (n + 5) - n * r * n * r as d from (
+          select count(*) as n, avg(label) as my, avg(DQ_SCORE) as m1, avg(TRUST_SCORE) as m2, stddev_pop(DQ_SCORE) as s1, stddev_pop(TRUST_SCORE) as s2,
+            corr(DQ_SCORE, TRUST_SCORE) as r, count(*) * covar_pop(DQ_SCORE, label) / stddev_pop(DQ_SCORE) as c1,
+            count(*) * covar_pop(TRUST_SCORE, label) / stddev_pop(TRUST_SCORE) as c2 from frame where label is not null)))""",
+)
+def ml8_linear(spark, sf):
+    """Ridge on the two scores, fitted from sums of products and served as of every day as one expression."""
+    frame = _tree_frame(spark, sf)
+    served = forecast.predict(frame, _fitted(frame, "Ridge", [*features.SCORES]))
+    return served.select("date", "model", "missing", F.round("predicted", 6).alias("predicted"))
 
 
 # --- compositions ----------------------------------------------------------------------------------------------
