@@ -146,6 +146,11 @@ def period(suffix: str) -> Columns:
     return {f"{c}_{'mean' if a == 'avg' else a}{suffix}": f"round(cast({a}({c}) as double), 4)" for c, a in _PERIOD}
 
 
+def period_columns() -> list[str]:
+    """The columns that periods are summed over."""
+    return list(dict.fromkeys(c for c, _ in _PERIOD))
+
+
 #: The stages that build on one another, each seeing the columns of those before.
 def stages(mode: str, **dialect: str) -> list[Columns]:
     return [

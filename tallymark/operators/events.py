@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import classify, features, parse
+from tallymark.operators.scan import carried_forward, unused
 from tallymark.operators.stored import stored
 from tallymark.schema import NO_VIOLATIONS, NOT_APPLICABLE, NUMERIC_METRICS, check_mode
 
@@ -70,48 +71,73 @@ def event_features(flat: DataFrame, mode: str = "as_coded") -> DataFrame:
     return flat
 
 
+def _label(ts, period: str):
+    """The label of a time's week (its Sunday) or month (its last day), at midnight."""
+    day = F.date_add(F.to_date(F.date_trunc("week", ts)), 6) if period == "week" else F.last_day(ts)
+    return day.cast("timestamp_ntz")
+
+
 def period_stats(events: DataFrame, period: str) -> DataFrame:
     """Sums and means by week (to its Sunday) or month (to its last day), with the label at midnight."""
-    ts = F.col("run_ts")
-    label = F.date_add(F.to_date(F.date_trunc("week", ts)), 6) if period == "week" else F.last_day(ts)
     suffix = {"week": "", "month": "_monthly"}[period]
     aggregates = [F.expr(e).alias(n) for n, e in features.period(suffix).items()]
-    return events.groupBy(label.cast("timestamp_ntz").alias("label")).agg(*aggregates)
+    return events.groupBy(_label(F.col("run_ts"), period).alias("label")).agg(*aggregates)
+
+
+def both_periods(events: DataFrame) -> DataFrame:
+    """``period_stats`` of weeks and months from one pass: label, period and the columns of both, null in the other's rows.
+
+    Events are summed by day; a day's sums and counts then go to its week and its month.
+    """
+    used = features.period_columns()
+    day = F.to_date("run_ts")
+    sums = [F.sum(c).alias(f"sum_{c}") for c in used] + [F.count(c).alias(f"count_{c}") for c in used]
+    days = events.groupBy(day.alias("day")).agg(*sums)
+    labels = F.array(*[F.struct(_label(F.col("day").cast("timestamp_ntz"), p).alias("label"), F.lit(p).alias("period")) for p in ("week", "month")])
+    spread = days.withColumn("to", F.explode(labels)).groupBy("to.label", "to.period")
+    stats = [F.round(F.sum(f"sum_{c}").cast("double"), 4).alias(f"{c}_sum") for c in used]
+    means = [F.round((F.sum(f"sum_{c}") / F.sum(f"count_{c}")).cast("double"), 4).alias(f"{c}_mean") for c in used]
+    table = spread.agg(*stats, *means)
+    out = [F.when(F.col("period") == p, F.col(name.removesuffix(suffix))).alias(name) for p, suffix in (("week", ""), ("month", "_monthly")) for name in features.period(suffix)]
+    return table.select("label", "period", *out)
+
+
+#: Periods up to which their statistics are sent to all tasks.
+SENT_PERIODS = 50_000
 
 
 def join_periods(events: DataFrame, mode: str = "as_coded") -> DataFrame:
-    """Weekly and monthly statistics joined to events: as coded by exact timestamp, as intended by period."""
-    by_bucket = check_mode(mode)
-    for period in ("week", "month"):
-        ts = F.col("run_ts")
-        end = F.date_add(F.to_date(F.date_trunc("week", ts)), 6) if period == "week" else F.last_day(ts)
-        at = end.cast("timestamp_ntz") if by_bucket else ts
-        # labels are days at midnight: other rows need no match and stay out of the join's shuffle key
-        events = events.join(period_stats(events, period), at == F.col("label"), "left").drop("label")
-    return events
+    """Weekly and monthly statistics joined to events: as coded by exact timestamp, as intended by period.
+
+    There are a few rows of statistics for each year; they are counted, and sent to all tasks if they are indeed few, so
+    that events stay where they are.
+    """
+    stats = stored(both_periods(events), "periods")
+    few = stats.count() <= SENT_PERIODS
+    sides = {p: stats.where(F.col("period") == p).select("label", *features.period(s)) for p, s in (("week", ""), ("month", "_monthly"))}
+    send = F.broadcast if few else (lambda df: df)
+    ts = F.col("run_ts")
+    if check_mode(mode):
+        for p, side in sides.items():
+            events = events.join(send(side), _label(ts, p) == F.col("label"), "left").drop("label")
+        return events
+    # a week and a month can end on one day: both meet the events of its midnight in one join
+    side = sides["week"].join(sides["month"], "label", "full")
+    return events.join(send(side), ts == F.col("label"), "left").drop("label")
 
 
 def fill_forward(events: DataFrame, columns: list[str], order: str = "event_id", width: int = 100_000) -> DataFrame:
     """Carry the last value of each column forward in row order, then fill numbers with 0.
 
-    The order runs over all rows.  Rows are dealt into ranges of ``width`` ids; each range
-    gives its last values, these are carried over the ranges (a small table), and every range
-    starts from what was carried in.  So no task holds more than a range.
+    The order runs over all rows.  Rows are dealt into ranges of ``width`` ids; each range gives its last values, these
+    are carried over the ranges in blocks, and every range starts from what was carried in.  So no task holds more than
+    a range, and no window all ranges.  ``events`` is read twice: store it where it is dear.
     """
-    part = F.floor(F.col(order) / width).alias("fill_part")
-    ranged = events.withColumn("fill_part", part)
-    last = ranged.groupBy("fill_part").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
-    before = Window.orderBy("fill_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("fill_part", *[F.last(c, ignorenulls=True).over(before).alias(f"carried_{c}") for c in columns])
-    own = Window.partitionBy("fill_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(carried, "fill_part")
+    part = unused(events, "fill_part")
+    filled = carried_forward(events.withColumn(part, F.floor(F.col(order) / width)), columns, part, order).drop(part)
     types = dict(events.dtypes)
-
-    def value(c: str):
-        filled = F.coalesce(F.last(c, ignorenulls=True).over(own), F.col(f"carried_{c}"))
-        return F.coalesce(filled, F.lit("0") if types[c] == "string" else F.lit(0).cast(types[c]))
-
-    return joined.withColumns({c: value(c) for c in columns}).drop("fill_part", *[f"carried_{c}" for c in columns])
+    nothing = {c: F.lit("0") if types[c] == "string" else F.lit(0).cast(types[c]) for c in columns}
+    return filled.select(*[F.coalesce(c, nothing[c]).alias(c) if c in nothing else F.col(c) for c in events.columns])
 
 
 def engineer(parsed: DataFrame, mode: str = "as_coded") -> DataFrame:
@@ -119,7 +145,7 @@ def engineer(parsed: DataFrame, mode: str = "as_coded") -> DataFrame:
 
     As intended, nothing is carried between unrelated tests: missing numbers stay missing.
     """
-    # both period tables and the events themselves read this, filling forward twice over
+    # the period table reads this, and filling forward twice
     events = join_periods(stored(event_features(flatten(parsed, mode), mode), "events"), mode)
     if check_mode(mode):
         return events

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import gram, trees
 from tallymark.operators.gram import Linear
-from tallymark.operators.scan import numbered
+from tallymark.operators.scan import carried_forward, dealt, numbered
 from tallymark.operators.stored import stored
 from tallymark.operators.temporal import numeric_columns
 from tallymark.operators.trees import Node, tree
@@ -308,14 +308,17 @@ def predict_as_of(df: DataFrame, artifact: Artifact | None, date: str | None, in
 def as_of_each(days: DataFrame, df: DataFrame, index: str = "calendar_date") -> DataFrame:
     """For each row of ``days`` (day), the newest date not after it and its score.
 
-    Both sides are put in one order and the last measurement is carried forward, so no pair is made.
+    Both sides are dealt into ranges of days, by split points drawn from the data, and the last measurement of the
+    ranges before is carried into each: no pair is made, and no task holds more than its range.  A day asked for very
+    often is spread over ranges by a number of its rows.  A null day has no measurement.
     """
-    marks = df.select(F.col(index).alias("at"), F.struct(F.col(index).alias("date"), "DQ_SCORE").alias("m")).unionByName(
-        days.select(F.col("day").alias("at"), F.lit(None).cast(f"struct<date:date,DQ_SCORE:{dict(df.dtypes)['DQ_SCORE']}>").alias("m"))
-    )
-    order = Window.orderBy("at", F.col("m").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = marks.select("at", "m", F.last("m", ignorenulls=True).over(order).alias("last"))
-    return filled.where("m is null").select(F.col("at").alias("day"), F.col("last.date").alias("date"), F.col("last.DQ_SCORE").alias("DQ_SCORE"))
+    score = dict(df.dtypes)["DQ_SCORE"]
+    asked = days.select(F.col("day").alias("at"), F.lit(None).cast(f"struct<date:date,DQ_SCORE:{score}>").alias("m"), F.xxhash64(F.monotonically_increasing_id()).alias("spread"))
+    known = df.where(F.col(index).isNotNull()).select(F.col(index).cast("date").alias("at"), F.struct(F.col(index).cast("date").alias("date"), "DQ_SCORE").alias("m"), F.lit(0).cast("long").alias("spread"))
+    rows = dealt(known.unionByName(asked), [F.col("at"), F.col("m").isNull(), F.col("spread")], "place", "as-of")
+    rows = rows.select("at", "m", F.col("m").isNull().alias("asked"), "place", F.shiftright("place", 33).alias("part"))
+    filled = carried_forward(rows, ["m"], "part", "place").where("asked")
+    return filled.select(F.col("at").alias("day"), F.col("m.date").alias("date"), F.col("m.DQ_SCORE").alias("DQ_SCORE"))
 
 
 def recent(df: DataFrame, k: int = 10, index: str = "calendar_date") -> DataFrame:

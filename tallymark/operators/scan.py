@@ -27,12 +27,13 @@ def unused(df: DataFrame, name: str) -> str:
 def carry(summaries: DataFrame, part: str, sums: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
     """What comes before each part: the sums of ``sums`` and the newest values of ``lasts`` that are not null.
 
-    ``summaries`` has a row for each part, numbered by integers of any gaps that are not negative; nothing before
-    gives a sum of 0 and null as value.  Parts and summaries are small next to the rows that they stand for, and each
-    level is ``FAN`` times smaller than the one below.
+    ``summaries`` has a row for each part, numbered by integers with any gaps; nothing before gives a sum of 0 and null
+    as value.  It is read once for each level, so store it.  Each level is ``FAN`` times smaller than the one below.
     """
-    top = summaries.agg(F.max(part)).first()[0]
-    return _carry(summaries.select(part, *sums, *lasts), part, sums, lasts, top or 0)
+    low, top = summaries.agg(F.min(part), F.max(part)).first()
+    level = summaries.select((F.col(part) - (low or 0)).alias(part), *sums, *lasts)
+    done = _carry(level, part, sums, lasts, (top or 0) - (low or 0))
+    return done.withColumn(part, F.col(part) + (low or 0))
 
 
 def _carry(level: DataFrame, part: str, sums: tuple[str, ...], lasts: tuple[str, ...], top: int) -> DataFrame:
@@ -68,3 +69,23 @@ def numbered(df: DataFrame, order: list[Column], out: str = "number", first: int
     # one row for each range that the shuffle made, so this side is as small as the number of its tasks
     place = F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1) + first
     return rows.join(F.broadcast(starts), part).withColumn(out, place.cast("long")).drop(at, part, start)
+
+
+def newest(summaries: DataFrame, part: str, columns: list[str], at: str) -> DataFrame:
+    """For each part the last value of each column that is not null, by ``at``."""
+    return summaries.groupBy(part).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in columns])
+
+
+def carried_forward(rows: DataFrame, columns: list[str], part: str, at: str) -> DataFrame:
+    """``rows`` with the newest value of each column that is not null, up to each row, over all parts.
+
+    ``part`` numbers ranges of the order and ``at`` the rows within one.  ``rows`` are read twice.
+    """
+    prefix = "carried_"
+    while any(f"{prefix}{c}".lower() in {x.lower() for x in rows.columns} for c in columns):
+        prefix += "_"
+    before = carry(stored(newest(rows, part, columns, at), "last-values"), part, lasts=tuple(columns))
+    before = before.select(part, *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+    own = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    values = {c: F.coalesce(F.last(c, ignorenulls=True).over(own), F.col(f"{prefix}{c}")) for c in columns}
+    return rows.join(before, part).withColumns(values).drop(*[f"{prefix}{c}" for c in columns])

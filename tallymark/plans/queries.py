@@ -66,7 +66,7 @@ def short(spark: SparkSession, sf: str) -> DataFrame:
 
     The trust score reads statuses carried forward, the pass rate those of the rows themselves.
     """
-    own = statuses(spark, sf).withColumn("own_status", F.col("status"))
+    own = stored(statuses(spark, sf).withColumn("own_status", F.col("status")), "statuses")
     filled = events.fill_forward(own, ["status", "violation_severity"])
     return filled.groupBy(F.to_date("run_ts").alias("calendar_date")).agg(
         (F.count_if(F.col("own_status") == "pass") / F.count("*")).alias("DQ_SCORE"), F.expr(features.trust()).alias("TRUST_SCORE"), F.count("*").alias("total_tests")
@@ -117,9 +117,10 @@ def io3(spark, sf):
     return load_events(raw(spark, sf).select("EVENT_ID", text.alias("date"))).select("EVENT_ID", "date")
 
 
-@query("io4_synthetic_dates", "select n_nationkey, date '2024-01-01' + (row_number() over (order by n_nationkey) - 1)::int as date from nation")
+@query("io4_synthetic_dates", "select l_orderkey, l_linenumber, date '2024-01-01' + (row_number() over (order by l_orderkey, l_linenumber) - 1)::int as date from lineitem")
 def io4(spark, sf):
-    return load_events(spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey"), order="n_nationkey").select("n_nationkey", "date")
+    keys = ["l_orderkey", "l_linenumber"]
+    return load_events(spark.read.parquet(f"{sf}/lineitem.parquet").select(*keys), order=keys).select(*keys, "date")
 
 
 @query("io5_read_daily", f"select calendar_date, {_r('DQ_SCORE', 'TRUST_SCORE')} from series")
@@ -429,12 +430,12 @@ _WEEKLY, _MONTHLY = [*features.period("")], [*features.period("_monthly")]
 
 @query("jn1_join_weekly", f"select event_id, {', '.join(_WEEKLY)} from joined")
 def jn1(spark, sf):
-    return events.join_periods(featured(spark, sf)).select("event_id", *_WEEKLY)
+    return events.join_periods(stored(featured(spark, sf), "featured")).select("event_id", *_WEEKLY)
 
 
 @query("jn2_join_monthly", f"select event_id, {', '.join(_MONTHLY)} from joined")
 def jn2(spark, sf):
-    return events.join_periods(featured(spark, sf)).select("event_id", *_MONTHLY)
+    return events.join_periods(stored(featured(spark, sf), "featured")).select("event_id", *_MONTHLY)
 
 
 _LOST = f"case when status = 'fail' then {features.weight('violation_severity', 1)} else 0 end"
@@ -550,7 +551,7 @@ def ag4(spark, sf):
 
 @query("ag5_trust_score", "select calendar_date, round(TRUST_SCORE, 6) as TRUST_SCORE from scores")
 def ag5(spark, sf):
-    filled = events.fill_forward(statuses(spark, sf), ["status", "violation_severity"])
+    filled = events.fill_forward(stored(statuses(spark, sf), "statuses"), ["status", "violation_severity"])
     return daily.daily_scores(filled).select("calendar_date", F.round("TRUST_SCORE", 6).alias("TRUST_SCORE"))
 
 
@@ -762,7 +763,7 @@ _FILLED = ["status", "violation_severity", "metric_completeness_ratio", "metric_
 
 @query("wn10_fill_forward", f"select event_id, {', '.join(_FILLED)} from filled")
 def wn10(spark, sf):
-    return events.fill_forward(flat(spark, sf), _FILLED, width=1000).select("event_id", *_FILLED)
+    return events.fill_forward(stored(flat(spark, sf).select("event_id", *_FILLED), "flat"), _FILLED)
 
 
 @query("wn11_days_since", "select calendar_date, days_since_last_measurement from gapped")

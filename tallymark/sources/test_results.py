@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.operators.scan import numbered, unused
 from tallymark.schema import RAW
 
 #: Days of the month without measurements, so that the daily series is irregular (fixed values).
@@ -85,11 +86,12 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).option("header", True).csv(path)
 
 
-def load_events(df: DataFrame, order: str = "EVENT_ID") -> DataFrame:
+def load_events(df: DataFrame, order: str | list[str] = "EVENT_ID") -> DataFrame:
     """Rows with time features; rows without a readable time are dropped.
 
     Without RUN_TIMESTAMP, a ``date`` column is read; without that too, rows get days from
-    2024-01-01 on, one each, in the order of ``order``.
+    2024-01-01 on, one each, in the order of ``order`` (a column or several): rows are dealt into
+    ranges of it, and each range numbers its rows from the count of those before.
     """
     if "RUN_TIMESTAMP" in df.columns:
         ts = F.col("RUN_TIMESTAMP")
@@ -99,8 +101,9 @@ def load_events(df: DataFrame, order: str = "EVENT_ID") -> DataFrame:
         return df.select("*", *time_features(F.col("RUN_TIMESTAMP")))
     if "date" in df.columns:
         return df.withColumn("date", F.expr("try_cast(date as date)")).where("date is not null")
-    number = F.row_number().over(Window.orderBy(order))  # a total order over all rows is what this asks for
-    return df.withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), number - 1))
+    place = unused(df, "place")
+    rows = numbered(df, [F.col(c) for c in ([order] if isinstance(order, str) else order)], place)
+    return rows.withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col(place).cast("int"))).drop(place)
 
 
 def time_features(ts: Column) -> list[Column]:
