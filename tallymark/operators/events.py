@@ -114,15 +114,15 @@ def join_periods(events: DataFrame, mode: str = "as_coded") -> DataFrame:
     """
     stats = stored(both_periods(events), "periods")
     few = stats.count() <= SENT_PERIODS
-    sides = {p: stats.where(F.col("period") == p).select("label", *features.period(s)) for p, s in (("week", ""), ("month", "_monthly"))}
     send = F.broadcast if few else (lambda df: df)
     ts = F.col("run_ts")
     if check_mode(mode):
-        for p, side in sides.items():
+        for p, suffix in (("week", ""), ("month", "_monthly")):
+            side = stats.where(F.col("period") == p).select("label", *features.period(suffix))
             events = events.join(send(side), _label(ts, p) == F.col("label"), "left").drop("label")
         return events
     # a week and a month can end on one day: both meet the events of its midnight in one join
-    side = sides["week"].join(sides["month"], "label", "full")
+    side = stats.groupBy("label").agg(*[F.max(c).alias(c) for c in stats.columns[2:]])
     return events.join(send(side), ts == F.col("label"), "left").drop("label")
 
 

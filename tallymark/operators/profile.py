@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.quantiles import exact_quantiles
+from tallymark.operators.stored import stored
 from tallymark.operators.temporal import numeric_columns
 
 
@@ -26,24 +28,27 @@ def span(df: DataFrame, ts: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max of numeric columns, a row for each."""
+    """count, mean, std, min, exact quartiles and max of numeric columns, a row for each.
+
+    Quartiles come from repeated histograms, so no task holds a column's distinct values; the columns are stored first.
+    """
+    rows = stored(df.select(*columns), "described")
+    quartiles = exact_quantiles(rows, {c: F.col(f"`{c}`") for c in columns}, [0.25, 0.5, 0.75])
 
     def one(c: str):
         x = F.col(c).cast("double")
-        quartile = lambda p: F.expr(f"percentile(cast(`{c}` as double), {p})")
+        q = [F.round(F.lit(v).cast("double"), 6) for v in quartiles[c]]
         return F.struct(
             F.lit(c).alias("column"),
             F.count(x).alias("n"),
             F.round(F.avg(x), 6).alias("mean"),
             F.round(F.stddev_samp(x), 6).alias("std"),
             F.min(x).alias("min"),
-            F.round(quartile(0.25), 6).alias("q1"),
-            F.round(quartile(0.5), 6).alias("median"),
-            F.round(quartile(0.75), 6).alias("q3"),
+            *[v.alias(n) for v, n in zip(q, ("q1", "median", "q3"))],
             F.max(x).alias("max"),
         )
 
-    return df.agg(F.array(*[one(c) for c in columns]).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+    return rows.agg(F.array(*[one(c) for c in columns]).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
@@ -93,10 +98,9 @@ def peak_hour(df: DataFrame, ts: str = "RUN_TIMESTAMP") -> DataFrame:
 
 def numeric_results(df: DataFrame, result: str = "TEST_RESULT") -> DataFrame:
     """Results that read as numbers: count, mean, median, most and zeros."""
-    x = F.col(result).try_cast("double")
-    return df.select(x.alias("x")).agg(
-        F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.median("x").alias("median"), F.max("x").alias("max"), F.count_if(F.col("x") == 0).alias("zeros")
-    )
+    rows = stored(df.select(F.col(result).try_cast("double").alias("x")), "numbers")
+    median = F.lit(exact_quantiles(rows, {"x": F.col("x")}, [0.5])["x"][0]).cast("double")
+    return rows.agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), median.alias("median"), F.max("x").alias("max"), F.count_if(F.col("x") == 0).alias("zeros"))
 
 
 def status_summary(parsed: DataFrame) -> DataFrame:

@@ -601,6 +601,14 @@ def ag10(spark, sf):
     return profile.describe(flat(spark, sf), _DESCRIBED)
 
 
+_PRICED = ["l_extendedprice", "l_quantity", "l_discount", "l_orderkey"]
+
+
+@query("ag10_describe_lineitem", " union all ".join(_describe(c, "lineitem") for c in _PRICED))
+def ag10_lineitem(spark, sf):
+    return profile.describe(spark.read.parquet(f"{sf}/lineitem.parquet"), _PRICED)
+
+
 _VALUED = ["NAME_OF_TEST", "SOURCE_DATABASE", "SEVERITY_LEVEL", "SOURCE_COLUMN"]
 
 
