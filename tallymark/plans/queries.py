@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from tallymark.functions import classify, features
 from tallymark.functions.parse import PARSERS, parse_events
 from tallymark.operators import daily, encode, events, forecast, irregular, profile, temporal, trees
-from tallymark.operators.stored import stored
-from tallymark.plans import oracle
+from tallymark.operators.stored import publish, published, shared_path, stored
+from tallymark.plans import oracle, reports
 from tallymark.plans.oracle import sql
 from tallymark.plans.pipeline import events_to_daily, irregular_table, standard
 from tallymark.schema import FAMILIES, NUMERIC_METRICS
@@ -977,13 +978,13 @@ def ml13(spark, sf):
     return spark.createDataFrame([(f, round(w, 6)) for f, w in artifact.importances()], "feature string, weight double")
 
 
-@query(
-    "ml8_tree_serving",
-    f"""select calendar_date as date, 'DecisionTree' as model, 0 as missing,
-      round((select avg(label) from frame) + case when b.node is null then case when s.node = 2 then r.sl / r.nl else r.sr / r.nr end
-        when c.v <= b.cut then b.sl / b.nl else b.sr / b.nr end, 6) as predicted
-      from ({oracle._side('served')}) s cross join best1 r left join best2 b on b.node = s.node left join served c using (calendar_date) where coalesce(c.f = b.f, c.f = 0)""",
-)
+_TREE_SERVED = f"""select calendar_date as date, 'DecisionTree' as model, 0 as missing,
+  round((select avg(label) from frame) + case when b.node is null then case when s.node = 2 then r.sl / r.nl else r.sr / r.nr end
+    when c.v <= b.cut then b.sl / b.nl else b.sr / b.nr end, 6) as predicted
+  from ({oracle._side('served')}) s cross join best1 r left join best2 b on b.node = s.node left join served c using (calendar_date) where coalesce(c.f = b.f, c.f = 0)"""
+
+
+@query("ml8_tree_serving", _TREE_SERVED)
 def ml8_tree(spark, sf):
     """What the tree would have served as of every day, as one expression."""
     frame = _tree_frame(spark, sf)
@@ -1007,6 +1008,57 @@ def ml8_linear(spark, sf):
     return served.select("date", "model", "missing", F.round("predicted", 6).alias("predicted"))
 
 
+# --- sinks -----------------------------------------------------------------------------------------------------
+
+
+def _published(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
+    """``df`` published and read back by its manifest."""
+    folder = shared_path(df.sparkSession, name)
+    publish(df, folder, fmt)
+    return published(df.sparkSession, folder)
+
+
+@query("io6_publish_daily", f"select calendar_date, {_r('DQ_SCORE', 'TRUST_SCORE')} from series")
+def io6(spark, sf):
+    return _published(io5(spark, sf), "daily", "csv")
+
+
+@query("io7_publish_irregular", "select calendar_date, days_since_last_measurement, round(days_to_next_measurement, 6) as days_to_next_measurement, is_long_gap, gap_severity from gapped")
+def io7(spark, sf):
+    gaps = irregular.gaps(series(spark, sf)).withColumn("days_to_next_measurement", F.round("days_to_next_measurement", 6))
+    return _published(gaps.select("calendar_date", "days_since_last_measurement", "days_to_next_measurement", "is_long_gap", "gap_severity"), "irregular", "csv")
+
+
+@query(
+    "io8_publish_summary",
+    "select count(*) as rows, 3 as columns, min(calendar_date)::varchar as first, max(calendar_date)::varchar as last, max(calendar_date) - min(calendar_date) as days, "
+    "round(avg(DQ_SCORE), 6) as mean, round(median(TRUST_SCORE), 6) as trust_median from series",
+)
+def io8(spark, sf):
+    folder = shared_path(spark, "summary")
+    reports.publish_text(spark, json.dumps(reports.summary(series(spark, sf))), folder)
+    fields = "rows bigint, columns int, first string, last string, days bigint, scores struct<DQ_SCORE_mean: double, TRUST_SCORE_median: double>"
+    read = published(spark, folder).select(F.from_json("value", fields).alias("s")).select("s.*")
+    return read.select("rows", "columns", "first", "last", "days", F.col("scores.DQ_SCORE_mean").alias("mean"), F.col("scores.TRUST_SCORE_median").alias("trust_median"))
+
+
+@query("io10_io11_artifact", f"select date, model, missing, predicted from ({_TREE_SERVED}) order by date desc limit 1")
+def io10(spark, sf):
+    """An artifact published, read back as the newest, and served for the latest day."""
+    frame, folder = _tree_frame(spark, sf), shared_path(spark, "models")
+    reports.publish_artifact(spark, _fitted(frame, forecast.TREE, oracle.TREE_COLUMNS), folder)
+    served = forecast.forecast(frame, reports.published_artifact(spark, folder))
+    return served.select("date", "model", "missing", F.round("predicted", 6).alias("predicted"))
+
+
+_EVENT = "event_id, run_ts, status, test_family, test_category, records_processed, violation_severity, source_table, target_database"
+
+
+@query("io13_publish_events", f"select {_EVENT} from flat")
+def io13(spark, sf):
+    return _published(flat(spark, sf).select(*_EVENT.split(", ")), "events", "csv")
+
+
 # --- compositions ----------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.operators import forecast, irregular, profile
+from tallymark.operators.stored import publish, published
 from tallymark.operators.temporal import numeric_columns
 
 
@@ -37,6 +38,30 @@ def save_summary(df: DataFrame, path: str) -> None:
     save_text(df.sparkSession, json.dumps(summary(df), sort_keys=True), path)
 
 
+def publish_text(spark: SparkSession, text: str, folder: str) -> None:
+    """A summary, report or artifact as a version of its own, committed by manifest."""
+    publish(spark.createDataFrame([(text,)], "value string").coalesce(1), folder)
+
+
+def published_text(spark: SparkSession, folder: str) -> str | None:
+    """The newest text whose files agree with its manifest."""
+    df = published(spark, folder)
+    return None if df is None else df.first().value
+
+
+def publish_artifact(spark: SparkSession, artifact: forecast.Artifact, folder: str) -> None:
+    publish_text(spark, artifact.to_json(), f"{folder}/dq_score_next_forecaster")
+
+
+def published_artifact(spark: SparkSession, folder: str) -> forecast.Artifact | None:
+    """The newest artifact that can be read; None where there is none."""
+    text = published_text(spark, f"{folder}/dq_score_next_forecaster")
+    try:
+        return None if text is None else forecast.Artifact.from_json(text)
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def processing_report(df: DataFrame) -> str:
     s = summary(df)
     top = profile.top_variances(df, 10, numeric_columns(df)).collect()
