@@ -283,6 +283,37 @@ def back(c: str, source: str = _D) -> str:
     return f"coalesce(first_value(case when not isnan({c}) then {c} end ignore nulls) over (order by {source} rows between current row and unbounded following), 0)"
 
 
+CATEGORIES = ("DQ_SCORE_CATEGORY", "TRUST_SCORE_CATEGORY")
+#: Numeric columns of the standard table.
+STANDARD = [*features.daily(features.numeric()), *features.SCORES, *(c for c in features.scores() if c not in CATEGORIES), *features.temporal()]
+
+
+def _irregular() -> dict[str, str]:
+    """The gap-aware table from the standard one, stage by stage; the columns of its last stage are ``IRREGULAR``."""
+    lost = {f"{x}_{kind}_{n}d" for x in features.SCORES for kind in ("lag",) for n in SETTINGS.lags}
+    lost |= {f"{x}_rolling_{kind}_{n}d" for x in features.SCORES for kind in ("mean", "std", "min", "max", "trend") for n in SETTINGS.windows}
+    lost |= {f"{x}_{kind}_{n}d" for x in features.SCORES for kind in ("momentum", "volatility") for n in (7, 14)}
+    kept = [c for c in STANDARD if c not in lost] + ["days_to_next_measurement"]
+    whole_gaps = ["days_since_last_measurement", "is_long_gap", "gap_severity"]
+    out = {"standard": f"select calendar_date, {', '.join(CATEGORIES)}, {', '.join(f'{back(c)} as {c}' for c in STANDARD)} from ({_more(features.temporal(), 'scored')})"}
+    out["standard_gaps"] = f"select s.*, {', '.join(f'{e} as {n}' for n, e in GAPS.items())} from (select *, {_SINCE} as days_since_last_measurement from standard) s"
+
+    def repaired(c: str) -> str:
+        new = re.sub(r"_pct_change_(\d|1\d)d$", r"_pct_change_lag_\1obs", c)
+        value = "1000.0" if "pct_change" in c else f"median(case when not isinf({c}) then {c} end) over ()"
+        return f"case when isinf({c}) then {value} else {c} end as {new}"
+
+    out["repaired"] = f"select calendar_date, {', '.join([*CATEGORIES, *whole_gaps])}, {', '.join(map(repaired, kept))} from standard_gaps"
+    more = trend_columns() | frequency_columns()
+    out["irregular"] = f"select *, {', '.join(f'{e} as {n}' for n, e in more.items())} from repaired"
+    names = [re.search(r" as (\w+)$", repaired(c))[1] for c in kept]
+    IRREGULAR.extend([*whole_gaps, *names, *more])
+    return out
+
+
+IRREGULAR: list[str] = []
+
+
 #: Columns of the tree queries: those of the long series that are never infinite.
 TREE_COLUMNS = [*features.SCORES, *(c for c in features.temporal() if "pct_change" not in c and "momentum" not in c)]
 
@@ -333,6 +364,7 @@ CTES: dict[str, str] = {
     "avg(case when o_orderpriority like '1%' or o_orderpriority like '2%' then 1.0 else 0.0 end) as TRUST_SCORE from orders group by 1",
     "lagged": _more(features.temporal(), "series"),
     **TREE,
+    **_irregular(),
     "gapped": _more(GAPS, f"(select *, {_SINCE} as days_since_last_measurement from series)"),
 }
 

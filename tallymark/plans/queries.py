@@ -1068,21 +1068,18 @@ def or4(spark, sf):
     return df.select("calendar_date", *[F.round(c, 6).alias(c) for c in features.SCORES], *encode.CATEGORIES)
 
 
-_WIDE = [c for c in _TEMPORAL if c.endswith(("_1d", "_7d", "_14d"))]
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
-@query(
-    "or1_standard_table",
-    f"select calendar_date, {_r('DQ_SCORE', 'TRUST_SCORE')}, {', '.join(f'round({oracle.back(c)}, 6) as {c}' for c in _WIDE)} from (select *, {', '.join(f'{e} as {c}' for c, e in features.temporal().items())} from scores)",
-)
+@query("or1_standard_table", f"select calendar_date, {', '.join(oracle.CATEGORIES)}, {', '.join(f'round({c}, 6) as {c}' for c in oracle.STANDARD)} from standard")
 def or1(spark, sf):
-    df = standard(parsed(spark, sf))
-    return df.select("calendar_date", *[F.round(c, 6).alias(c) for c in ("DQ_SCORE", "TRUST_SCORE", *_WIDE)])
+    return _rounded(standard(parsed(spark, sf)))
 
 
-@query("or8_irregular_table")
+@query("or8_irregular_table", f"select calendar_date, {', '.join(oracle.CATEGORIES)}, {', '.join(f'round({oracle.cleaned(c)}, 6) as {c}' for c in oracle.IRREGULAR)} from irregular")
 def or8(spark, sf):
-    return irregular_table(standard(parsed(spark, sf)))
+    return _rounded(irregular_table(standard(parsed(spark, sf))))
 
 
 @query("dq_daily_scores", f"select calendar_date, {_r('DQ_SCORE', 'TRUST_SCORE')}, cast(total_tests as bigint) as total_tests from (select *, daily_total_tests as n from scored)")
