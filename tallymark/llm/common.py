@@ -10,6 +10,9 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import functools
+import inspect
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +39,36 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clash])
 
 
+#: The columns of ``documents``, whose names operators do not give to anything else.
+DOCUMENT = frozenset({"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def sheltered(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator on a table whose other columns have names of their own while it works.
+
+    Columns of ``documents``, and those named by the operator's arguments, keep their names; all others are renamed and
+    get their names back at the end, but for one that the operator adds itself.
+    """
+    signature = inspect.signature(operator)
+
+    @functools.wraps(operator)
+    def run(*args, **how) -> DataFrame:
+        bound = signature.bind(*args, **how)
+        bound.apply_defaults()
+        table, df = next(iter(bound.arguments.items()))
+        used = DOCUMENT | {v.lower() for v in bound.arguments.values() if isinstance(v, str)}
+        own = {c: f"sheltered_{i}_{uuid.uuid4().hex[:8]}" for i, c in enumerate(df.columns) if c.lower() not in used}
+        if not own:
+            return operator(*args, **how)
+        bound.arguments[table] = df.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in df.columns])
+        out = operator(*bound.args, **bound.kwargs)
+        back = {v: k for k, v in own.items()}
+        made = {c.lower() for c in out.columns if c not in back}
+        return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in made])
+
+    return run
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import without, written
+from tallymark.llm.common import sheltered, without, written
 
 ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "warrant", "redistribut")
 #: Names of license files, as the beginning of the last part of a path in lower case.
@@ -140,6 +140,7 @@ def ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))
 
 
+@sheltered
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.7) -> DataFrame:
     """Files with own_license, cosine, license and inherited_from (the license file's path)."""
     added = ("own_license", "cosine", "license", "inherited_from", "scan_row", "scan_dir", "share")

@@ -37,7 +37,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import without, written
+from tallymark.llm.common import sheltered, without, written
 from tallymark.llm.graph import components
 
 #: First bit and width of the blocks of a SimHash.
@@ -295,6 +295,7 @@ def links(entries: DataFrame, docs: DataFrame, similarity: float, text: str) ->
     return found.unionByName(more)
 
 
+@sheltered
 def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents whose text has only kept lines, with n_lines and n_dropped."""
     docs = without(docs, "n_lines", "n_dropped", "line_key", "kept_places", "kept_id", "kept_h", "kept_lines")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import without
+from tallymark.llm.common import sheltered, without
 
 #: Largest rate that is inverted in one piece.
 RATE = 16.0
@@ -77,6 +77,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temper: float = 0.7
     return n.crossJoin(F.broadcast(total)).select("source", "n", (share * F.col("total") / F.col("n")).alias("rate"))
 
 
+@sheltered
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 17, temper: float = 0.7, shuffle: bool = True
 ) -> DataFrame:
