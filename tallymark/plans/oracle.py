@@ -10,12 +10,10 @@ import re
 
 from tallymark.functions import features
 from tallymark.functions.classify import CATEGORY_RULES, FAMILY_RULES, ROUTES
+from tallymark.plans import checks
 from tallymark.schema import FAMILIES, NO_VIOLATIONS, NOT_APPLICABLE, NUMERIC_METRICS, SETTINGS
 from tallymark.sources.test_results import SILENT_DAYS, derived_sql
 
-DIALECT = {"weekday": "(isodow({0}) - 1)", "next_day": "(cast({0} as date) + 1)"}
-
-
 def _chain(rules, otherwise: str) -> str:
     return "case" + "".join(f" when contains(lower(NAME_OF_TEST), '{a}') then '{b}'" for a, b in rules) + f" else '{otherwise}' end"
 
@@ -194,20 +192,10 @@ def _flat() -> str:
       from parsed"""
 
 
-def _stage(n: int, mode: str = "as_coded") -> str:
-    columns = features.stages(mode, **DIALECT)[n]
-    return "select *, " + ", ".join(f"{e} as {c}" for c, e in columns.items()) + f" from {'flat' if n == 0 else f'stage{n - 1}'}"
-
-
 _WEEK = "cast(date_trunc('week', run_ts) as date) + 6"
 _MONTH = "last_day(run_ts)"
 
 
-def _period(label: str, suffix: str) -> str:
-    columns = ", ".join(f"{e} as {c}" for c, e in features.period(suffix).items())
-    return f"select cast({label} as timestamp) as label, {columns} from stage3 group by 1"
-
-
 def _fill() -> str:
     text = ("status", "violation_severity")
     value = lambda c: f"""coalesce(last_value({c} ignore nulls) over (order by event_id rows unbounded preceding), {"'0'" if c in text else 0})"""
@@ -220,19 +208,6 @@ DOUBLES = {
 }
 
 
-def whole(expression: str) -> str:
-    """Sums of whole numbers as BIGINT."""
-    m = re.fullmatch(r"(sum|max|min)\((\w+)\)", expression)
-    if expression.startswith("sum(case") or m and m[1] == "sum" and m[2] not in DOUBLES:
-        return f"cast({expression} as bigint)"
-    return expression
-
-
-def _daily() -> str:
-    columns = features.daily(features.numeric()) | {"TRUST_SCORE": features.trust()}
-    return "select cast(run_ts as date) as calendar_date, " + ", ".join(f"{whole(e)} as {c}" for c, e in columns.items()) + " from filled group by 1"
-
-
 def _more(columns: features.Columns, source: str, *extra: str) -> str:
     return "select *, " + ", ".join([*extra, *(f"{e} as {c}" for c, e in columns.items())]) + f" from {source}"
 
@@ -295,7 +270,7 @@ def _irregular() -> dict[str, str]:
     lost |= {f"{x}_{kind}_{n}d" for x in features.SCORES for kind in ("momentum", "volatility") for n in (7, 14)}
     kept = [c for c in STANDARD if c not in lost] + ["days_to_next_measurement"]
     whole_gaps = ["days_since_last_measurement", "is_long_gap", "gap_severity"]
-    out = {"standard": f"select calendar_date, {', '.join(CATEGORIES)}, {', '.join(f'{back(c)} as {c}' for c in STANDARD)} from ({_more(features.temporal(), 'scored')})"}
+    out = {"standard": f"select calendar_date, {', '.join(CATEGORIES)}, {', '.join(f'{back(c)} as {c}' for c in STANDARD)} from ({checks.temporal('scored')})"}
     out["standard_gaps"] = f"select s.*, {', '.join(f'{e} as {n}' for n, e in GAPS.items())} from (select *, {_SINCE} as days_since_last_measurement from standard) s"
 
     def repaired(c: str) -> str:
@@ -352,17 +327,17 @@ CTES: dict[str, str] = {
     "classified": f"select * exclude (STATUS), {_chain(CATEGORY_RULES, 'OTHER')} as TEST_CATEGORY, {_chain(FAMILY_RULES, 'OTHER')} as TEST_FAMILY from raw",
     "parsed": _parsed(),
     "flat": _flat(),
-    **{f"stage{n}": _stage(n) for n in range(4)},
-    "weekly": _period(_WEEK, ""),
-    "monthly": _period(_MONTH, "_monthly"),
+    **checks.stages(FAMILIES),
+    "weekly": checks.period(_WEEK, ""),
+    "monthly": checks.period(_MONTH, "_monthly"),
     "joined": "select e.*, w.* exclude (label), m.* exclude (label) from stage3 e left join weekly w on e.run_ts = w.label left join monthly m on e.run_ts = m.label",
     "filled": _fill(),
-    "daily": _daily(),
-    "scored": "select *, " + ", ".join(f"{e} as {c}" for c, e in features.scores().items()) + " from (select *, cast(daily_test_passed_sum as double) / daily_total_tests as DQ_SCORE from daily)",
+    "daily": checks.daily(features.numeric(), DOUBLES, FAMILIES),
+    "scored": checks.scored(),
     "scores": "select calendar_date, DQ_SCORE, TRUST_SCORE from scored",
     "series": "select cast(o_orderdate as date) as calendar_date, avg(case when o_orderstatus = 'F' then 1.0 else 0.0 end) as DQ_SCORE, "
     "avg(case when o_orderpriority like '1%' or o_orderpriority like '2%' then 1.0 else 0.0 end) as TRUST_SCORE from orders group by 1",
-    "lagged": _more(features.temporal(), "series"),
+    "lagged": checks.temporal("series"),
     **TREE,
     **_irregular(),
     "gapped": _more(GAPS, f"(select *, {_SINCE} as days_since_last_measurement from series)"),

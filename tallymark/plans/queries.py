@@ -12,7 +12,7 @@ from tallymark.functions import classify, features
 from tallymark.functions.parse import PARSERS, parse_events
 from tallymark.operators import daily, encode, events, forecast, irregular, profile, temporal, trees
 from tallymark.operators.stored import publish, published, shared_path, stored
-from tallymark.plans import oracle, reports
+from tallymark.plans import checks, oracle, reports
 from tallymark.plans.oracle import sql
 from tallymark.plans.pipeline import events_to_daily, irregular_table, standard
 from tallymark.schema import FAMILIES, NUMERIC_METRICS
@@ -332,7 +332,7 @@ def pf4_intended(spark, sf):
     return events.add(events.add(flat(spark, sf), features.base()), columns).select("event_id", *columns)
 
 
-@query("pf12_score_bands", f"select calendar_date, {features.scores()['DQ_SCORE_CATEGORY']} as DQ_SCORE_CATEGORY, {features.scores()['TRUST_SCORE_CATEGORY']} as TRUST_SCORE_CATEGORY from series")
+@query("pf12_score_bands", f"select calendar_date, {', '.join(f'{e} as {c}' for c, e in checks.bands('').items())} from series")
 def pf12(spark, sf):
     columns = {c: features.scores()[c] for c in encode.CATEGORIES}
     return events.add(series(spark, sf), columns).select("calendar_date", *columns)
@@ -439,14 +439,14 @@ def jn2(spark, sf):
     return events.join_periods(stored(featured(spark, sf), "featured")).select("event_id", *_MONTHLY)
 
 
-_LOST = f"case when status = 'fail' then {features.weight('violation_severity', 1)} else 0 end"
+_LOST = f"case when status = 'fail' then {checks.weight('violation_severity', 1)} else 0 end"
 
 
 @query(
     "jn3_failures_and_totals",
     f"""select coalesce(f.d, t.d) as calendar_date, coalesce(w, 0)::bigint as severity_weight, coalesce(n, 0) as failed, coalesce(m, 0)::bigint as max_possible_weighted_points
       from (select run_ts::date as d, sum({_LOST}) as w, count(*) as n from flat where status = 'fail' group by 1) f
-      full join (select run_ts::date as d, sum({features.weight('violation_severity', 0)}) as m from flat group by 1) t on f.d = t.d""",
+      full join (select run_ts::date as d, sum({checks.weight('violation_severity', 0)}) as m from flat group by 1) t on f.d = t.d""",
 )
 def jn3(spark, sf):
     return daily.failures_and_totals(statuses(spark, sf))
@@ -463,7 +463,7 @@ def jn5(spark, sf):
 
 
 _BANDS = {c: features.scores()[c] for c in encode.CATEGORIES}
-_BANDED = "(select *, " + ", ".join(f"{e} as {c}" for c, e in _BANDS.items()) + " from series)"
+_BANDED = "(select *, " + ", ".join(f"{e} as {c}" for c, e in checks.bands("").items()) + " from series)"
 
 
 def banded(spark, sf):
@@ -510,7 +510,7 @@ def jn8(spark, sf):
 # --- aggregations ----------------------------------------------------------------------------------------------
 
 _DAILY = features.daily(features.numeric())
-_DAILY_WHOLE = [c for c, e in _DAILY.items() if oracle.whole(e) != e or e == "count(*)"]
+_DAILY_WHOLE = [c for c, e in _DAILY.items() if e.startswith("sum(") and e[4:-1] not in oracle.DOUBLES or e == "count(*)"]
 
 
 def _daily_sql(c: str) -> str:
@@ -556,7 +556,7 @@ def ag5(spark, sf):
     return daily.daily_scores(filled).select("calendar_date", F.round("TRUST_SCORE", 6).alias("TRUST_SCORE"))
 
 
-@query("ag5_trust_score_unfilled", f"select run_ts::date as calendar_date, round({features.trust()}, 6) as TRUST_SCORE from flat group by 1")
+@query("ag5_trust_score_unfilled", f"select run_ts::date as calendar_date, round({checks.trust()}, 6) as TRUST_SCORE from flat group by 1")
 def ag5_plain(spark, sf):
     return daily.daily_scores(statuses(spark, sf)).select("calendar_date", F.round("TRUST_SCORE", 6).alias("TRUST_SCORE"))
 
