@@ -75,6 +75,37 @@ def prepared(irregular: DataFrame) -> DataFrame:
     return clean(irregular, numeric_columns(irregular))
 
 
+def prepared_with_metadata(table: DataFrame, targets: tuple[str, ...] = features.SCORES, order: str = "calendar_date") -> tuple[DataFrame, DataFrame]:
+    """The gap-aware table without missing or infinite values in any column, and a row that describes it.
+
+    Numbers and texts take the value before, the value after, or 0.  The row has the numbers of rows, columns and
+    features (by kind; all but the targets and the date), the targets, the span, the mean gap, and how many infinite
+    values were found, repaired and left.  ``table`` is read twice: store it where it is dear.
+    """
+    kinds = dict(table.dtypes)
+    numbers = numeric_columns(table)
+    texts = [c for c, t in kinds.items() if t == "string" and c != order]
+    done = clean(table, [*numbers, *texts], order)
+    own = [c for c in table.columns if c not in (*targets, order)]
+    number = {c: F.lit(c in numbers) for c in own}
+    count = lambda xs: F.lit(len([c for c in own if c in xs]))
+    found = infinities(table).select(F.col("infinite_values").alias("infinite_found"))
+    row = done.agg(
+        F.count("*").alias("n_rows"),
+        F.lit(len(table.columns) - 1).alias("n_columns"),
+        F.lit(len(number)).alias("feature_count"),
+        F.array(*[F.lit(t) for t in targets]).alias("target_variables"),
+        F.min(order).alias("first"),
+        F.max(order).alias("last"),
+        F.avg("days_since_last_measurement").alias("average_gap_days"),
+        count(numbers).alias("numeric_features"),
+        count(texts).alias("categorical_features"),
+        sum((F.count_if(F.abs(c) == INF) for c, t in kinds.items() if t in ("double", "float")), F.lit(0)).cast("long").alias("infinite_remaining"),
+    )
+    both = row.crossJoin(F.broadcast(found))  # one row each
+    return done, both.withColumn("infinite_fixed", F.col("infinite_found") - F.col("infinite_remaining"))
+
+
 def gap_stats(df: DataFrame, order: str = "calendar_date") -> DataFrame:
     """Mean, median, most and least days between measurements, and sparsity."""
     gap = df.selectExpr(order, f"datediff({order}, lag({order}) over (order by {order})) as gap")

@@ -33,13 +33,13 @@ def fill_backward(df: DataFrame, columns: list[str] | None = None, order: str =
 
 
 def clean(df: DataFrame, columns: list[str] | None = None, order: str = "calendar_date") -> DataFrame:
-    """Infinite values to missing, then the value before, the value after, or 0."""
+    """Infinite values to missing, then the value before, the value after, or 0 (of a text column, its text)."""
     w = Window.orderBy(order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     types = dict(df.dtypes)
 
     def value(c: str):
         x = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) if types[c] in ("double", "float") else F.col(c)
-        return F.coalesce(F.last(x, ignorenulls=True).over(before), F.first(x, ignorenulls=True).over(after), F.lit(0).cast(types[c]))
+        return F.coalesce(F.last(x, ignorenulls=True).over(before), F.first(x, ignorenulls=True).over(after), F.lit(0).cast(types[c]))  # 0 as text is "0"
 
     return df.withColumns({c: value(c) for c in columns or numeric_columns(df)})

@@ -101,6 +101,22 @@ def stages(families: tuple[str, ...]) -> dict[str, str]:
     }
 
 
+def intended(source: str) -> str:
+    """event_id and the columns whose words are wrong as coded, with the right ones."""
+    fits = _flag("(status, has_violations) in (('pass', 0), ('fail', 1))")
+    columns = {
+        "has_no_violations": _flag(f"violation_severity = '{_CLEAN}'"),
+        **{f"{f}_passed_clean": _flag(f"(test_family, violation_severity) = ('{f.upper()}', '{_CLEAN}')") for f in ("allocation", "uniqueness")},
+        "status_consistent": fits,
+        "clean_result_consistent": _flag(f"(status, violation_severity) = ('pass', '{_CLEAN}')"),
+        "status_inconsistent": f"1 - {fits}",
+        **{f"is_{f}_test": _flag(f"test_family = '{f.upper()}'") for f in ("schema", "allocation", "uniqueness")},
+        "requires_source_target": _flag("list_contains(['ALLOCATION', 'COMPLETENESS', 'REFERENTIAL_INTEGRITY'], test_family)"),
+        "requires_source_only": _flag("list_contains(['UNIQUENESS', 'SCHEMA'], test_family)"),
+    }
+    return f"select event_id, {', '.join(f'{e} as {c}' for c, e in columns.items())} from {source}"
+
+
 def period(label: str, suffix: str) -> str:
     sums = ("test_passed", "test_failed", "test_error", "has_violations", "violation_count", "execution_time", "records_processed")
     out = [f"round(sum({c})::double, 4) as {c}_sum{suffix}" for c in sums]

@@ -326,7 +326,7 @@ _stage_query("pf11_interactions", 3, [c for c in features.interactions() if c no
 _stage_query("wn1_family_rates", 3, _RATES, {c: 6 for c in _RATES})
 
 
-@query("pf4_status_features_intended", f"select event_id, {', '.join(f'{e} as {c}' for c, e in (features.clean_and_consistent('intended') | features.test_types('intended')).items())} from stage0")
+@query("pf4_status_features_intended", checks.intended("stage0"))
 def pf4_intended(spark, sf):
     columns = features.clean_and_consistent("intended") | features.test_types("intended")
     return events.add(events.add(flat(spark, sf), features.base()), columns).select("event_id", *columns)
@@ -1082,6 +1082,35 @@ def or8(spark, sf):
     return _rounded(irregular_table(standard(parsed(spark, sf))))
 
 
+def _gapped_lags(spark, sf):
+    """The long series with lags and gaps, infinite values and all, and a text column with holes."""
+    df = irregular.gaps(lagged(spark, sf))
+    return stored(df.withColumn("note", F.when(F.dayofmonth("calendar_date") % 3 == 1, F.date_format("calendar_date", "yyyy-MM"))), "gapped-lags")
+
+
+_GAPS = [*features.SCORES, *_TEMPORAL, "days_since_last_measurement", *oracle.GAPS]
+_NOTE = "case when day(calendar_date) % 3 = 1 then strftime(calendar_date, '%Y-%m') end"
+_GAP_LAGS = f"(select *, {', '.join(f'{e} as {c}' for c, e in oracle.GAPS.items())}, {_NOTE} as note from (select *, coalesce(calendar_date - lag(calendar_date) over (order by calendar_date), 0) as days_since_last_measurement from lagged))"
+_FILLED_NOTE = "coalesce(last_value(note ignore nulls) over (order by calendar_date rows unbounded preceding), first_value(note ignore nulls) over (order by calendar_date rows between current row and unbounded following), '0') as note"
+
+
+@query("or12_prepared", f"select calendar_date, {_FILLED_NOTE}, {', '.join(f'round({oracle.cleaned(c)}, 6) as {c}' for c in _GAPS)} from {_GAP_LAGS}")
+def or12(spark, sf):
+    return _rounded(irregular.prepared_with_metadata(_gapped_lags(spark, sf))[0])
+
+
+@query(
+    "or12_metadata",
+    f"""select count(*) as n_rows, {len(_GAPS) + 1} as n_columns, {len(_GAPS) - 1} as feature_count, 'DQ_SCORE,TRUST_SCORE' as target_variables, min(calendar_date) as first, max(calendar_date) as last,
+      round(avg(days_since_last_measurement), 6) as average_gap_days, {len(_GAPS) - 2} as numeric_features, 1 as categorical_features,
+      ({' + '.join(f'count(*) filter (where isinf({c}))' for c in _TEMPORAL)})::bigint as infinite_found, 0 as infinite_remaining,
+      ({' + '.join(f'count(*) filter (where isinf({c}))' for c in _TEMPORAL)})::bigint as infinite_fixed from {_GAP_LAGS}""",
+)
+def or12_metadata(spark, sf):
+    row = irregular.prepared_with_metadata(_gapped_lags(spark, sf))[1]
+    return row.withColumns({"target_variables": F.array_join("target_variables", ","), "average_gap_days": F.round("average_gap_days", 6)})
+
+
 @query("dq_daily_scores", f"select calendar_date, {_r('DQ_SCORE', 'TRUST_SCORE')}, cast(total_tests as bigint) as total_tests from (select *, daily_total_tests as n from scored)")
 def flagship(spark, sf):
     return short(spark, sf).select("calendar_date", *[F.round(c, 6).alias(c) for c in features.SCORES], "total_tests")
