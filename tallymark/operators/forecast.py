@@ -321,7 +321,7 @@ def as_of_each(days: DataFrame, df: DataFrame, index: str = "calendar_date") ->
     return filled.select(F.col("at").alias("day"), F.col("m.date").alias("date"), F.col("m.DQ_SCORE").alias("DQ_SCORE"))
 
 
-def recent(df: DataFrame, k: int = 10, index: str = "calendar_date") -> DataFrame:
-    """The last k measurements, numbered from 1."""
-    tail = df.orderBy(F.desc(index)).limit(k)
+def recent(df: DataFrame, k: int | None = 10, index: str = "calendar_date") -> DataFrame:
+    """The last k measurements (all, if None), numbered from 1."""
+    tail = df if k is None else df.orderBy(F.desc(index)).limit(k)
     return tail.select(F.row_number().over(Window.orderBy(index)).alias("measurement_num"), index, "DQ_SCORE", "TRUST_SCORE")

@@ -826,7 +826,7 @@ def wn19(spark, sf):
 
 @query("wn20_measurement_num", "select calendar_date, row_number() over (order by calendar_date)::int as measurement_num from scores")
 def wn20(spark, sf):
-    return forecast.recent(short(spark, sf), 1 << 30).select("calendar_date", "measurement_num")
+    return forecast.recent(short(spark, sf), None).select("calendar_date", "measurement_num")
 
 
 @query("wn21_repair_infinities", f"select calendar_date, {', '.join(f'round(case when isinf({c}) then 1000 else {c} end, 6) as {c}' for c in _CHANGES)} from lagged")
