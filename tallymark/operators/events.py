@@ -50,9 +50,7 @@ def flatten(parsed: DataFrame, mode: str = "as_coded") -> DataFrame:
 
 def statuses(raw: DataFrame, mode: str = "as_coded") -> DataFrame:
     """event_id, run_ts, status, test_family and violation_severity of raw rows, as ``flatten`` has them, without the rest."""
-    name = F.col("NAME_OF_TEST")
-    rows = raw.withColumn("TEST_FAMILY", classify.family(name)).withColumn("TEST_ROUTE", classify.route(F.col("TEST_FAMILY"), name))
-    rows = rows.select("EVENT_ID", "RUN_TIMESTAMP", "TEST_FAMILY", "SEVERITY_LEVEL", parse.status(mode).alias("status"))
+    rows = parse.routed(raw, mode).select("EVENT_ID", "RUN_TIMESTAMP", "TEST_FAMILY", "SEVERITY_LEVEL", parse.status(mode).alias("status"))
     clean = F.col("status") == "pass"
     if check_mode(mode):
         severity = F.when(clean, NO_VIOLATIONS).otherwise(F.coalesce(F.nullif("SEVERITY_LEVEL", F.lit("")), F.lit("HIGH SEVERITY")))

@@ -198,7 +198,7 @@ def _parser_query(name: str, parser: str, metrics: str, more: dict[str, str]) ->
 
     @query(name, f"select EVENT_ID, status, {', '.join([*names, *more])} from parsed where route = '{parser}'")
     def one(spark, sf):
-        rows = parsed(spark, sf, parser).where(F.col("DQ_EVENT.status").isNotNull())
+        rows = parsed(spark, sf, parser)
         e = F.col("DQ_EVENT")
         columns = [F.col(f"DQ_EVENT.metrics.{m}").alias(m) for m in names] + [F.col(f"DQ_EVENT.{p}").alias(c) for c, p in more.items()]
         return rows.select("EVENT_ID", e["status"].alias("status"), *columns)
@@ -221,7 +221,7 @@ def _text(c):
     f"select EVENT_ID, status, {_list('columns_added')} as added, {_list('columns_removed')} as removed, {_list('moved_names')} as moved, {_list('case_names')} as cases, curr_hash, prev_hash from parsed where route = 'column_names'",
 )
 def pa11(spark, sf):
-    rows, m = parsed(spark, sf, "column_names").where("STATUS is not null"), "DQ_EVENT.metrics."
+    rows, m = parsed(spark, sf, "column_names"), "DQ_EVENT.metrics."
     return rows.select(
         "EVENT_ID",
         F.col("STATUS").alias("status"),
@@ -245,7 +245,7 @@ def _pairs_text(c):
 def _structure_query(name: str, parser: str, curr: str, prev: str) -> None:
     @query(name, f"select EVENT_ID, {_pairs(curr)} as curr, {_pairs(prev)} as prev from parsed where route = '{parser}'")
     def one(spark, sf):
-        rows = parsed(spark, sf, parser).where("STATUS is not null")
+        rows = parsed(spark, sf, parser)
         return rows.select("EVENT_ID", _pairs_text(F.col(f"DQ_EVENT.structure.{curr}")).alias("curr"), _pairs_text(F.col(f"DQ_EVENT.structure.{prev}")).alias("prev"))
 
 
@@ -259,7 +259,7 @@ _structure_query("pa16_positions", "column_position", "curr_positions", "prev_po
     f"select EVENT_ID, status, {_list('columns_added')} as added, {_list('columns_removed')} as removed, {_list('moved_types')} as changed, curr_hash, prev_hash from parsed where route = 'datatypes'",
 )
 def pa13(spark, sf):
-    rows, m = parsed(spark, sf, "datatypes").where("STATUS is not null"), "DQ_EVENT.metrics."
+    rows, m = parsed(spark, sf, "datatypes"), "DQ_EVENT.metrics."
     return rows.select(
         "EVENT_ID",
         F.col("STATUS").alias("status"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import classify
-from tallymark.functions.parse import column_names, parse_events
+from tallymark.functions.parse import parse_events
 from tallymark.schema import RAW
 
 H = "0" * 32
@@ -101,5 +101,17 @@ def test_context_levels(spark):
 
 def test_column_names_that_match_several_by_case_keep_the_last(spark):
     text = "curr_col_names=NAME:1 hash=a1; prev_col_names=name:1, Name:2 hash=a1"
-    row = spark.createDataFrame([(text,)], "r string").select(*[c.alias(k) for k, c in column_names(F.col("r"), False).items() if k in ("case_mismatches", "columns_added")]).first()
+    row = parse_events(spark.createDataFrame([{"NAME_OF_TEST": "SCHEMA DRIFT COLUMN NAMES", "TEST_RESULT": text}], RAW)).select("DQ_EVENT.metrics.*").first()
     assert row.case_mismatches == {"NAME": "name"} and row.columns_added == ["NAME"]
+
+
+@pytest.mark.parametrize("mode", ["as_coded", "intended"])
+def test_each_pattern_is_matched_once(spark, mode, tmp_path):
+    spark.createDataFrame([{"NAME_OF_TEST": "SENSITIVE"}], RAW).write.parquet(str(tmp_path / "log"))
+    rows = parse_events(spark.read.parquet(str(tmp_path / "log")), mode).select("STATUS", "DQ_EVENT", "COLUMN_POSITION_CHANGES", "CASE_MISMATCHES")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "2000")
+    try:
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("regexp_extract(") == 34 and plan.count("array_distinct(") == 6  # patterns of all parsers; lists of two sides in three
