@@ -481,6 +481,55 @@ def test_licenses_and_inheritance(spark):
     assert license_scan.scan_licenses(df.limit(0)).collect() == []
 
 
+HEADERS = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY",
+    "ISC": "Copyright (c) 2019 A. Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES",
+    "BSD-2-Clause": "Copyright (c) 2020, A. Person\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "MIT": "MIT License\n\nCopyright (c) 2021 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software",
+    "Proprietary": "Copyright 2020. All rights reserved.",
+}
+
+
+def test_standard_headers_and_tags(spark):
+    code = "\n".join(f"value{i} = compute(item{i}, other{i})" for i in range(40))
+    rows = [(f"{n}/{how}/f.c", f"{before}{mark}{h.replace(chr(10), chr(10) + mark)}\n{code}") for n, h in HEADERS.items() for how, before, mark in (("plain", "", ""), ("comment", f"{code}\n", " * "))]
+    tags = [("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-2.0-only WITH Linux-syscall-note", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */"), ("MIT OR Apache-2.0", f"# SPDX-License-Identifier: (MIT OR Apache-2.0)\n{HEADERS['ISC']}")]
+    rows += [(f"{n}/tag{i}", f"{t}\n{code}") for i, (n, t) in enumerate(tags)]
+    rows += [("none/a", "a domain name is reserved for the licence office, without warranty or copyright of any kind"), ("none/b", code), ("none/c", "license " * 3000)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r.own_license for r in license_scan.scan_licenses(df).collect()}
+    assert got == {p: None if p.startswith("none") else p.split("/")[0] for p, _ in rows}
+
+
+def test_license_cosines_against_brute_force(spark):
+    texts = [*HEADERS.values(), f"x y {HEADERS['ISC']} z", "copyright all rights", "the license of the domain " * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "scan_row long, text string")
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    bags = [set(cut(t)) for t in texts]
+    templates = [(n, cut(t)) for n, t in license_scan.TEMPLATES]
+    known = {w for _, t in templates for w in t}
+    idf = lambda w: math.log((1 + len(texts)) / (1 + sum(w in b for b in bags)))
+    weight = lambda w: idf(w) if w in known else math.log(1 + len(texts))
+    anchor = lambda w: next((a for a in license_scan.ANCHORS if a in w), None)
+    assert all(any(anchor(w) for w in t) for _, t in templates)
+    want = {}
+    for i, text in enumerate(map(cut, texts)):
+        for place, word in enumerate(text):
+            for k, (_, t) in enumerate(templates):
+                offset = next((o for o, w in enumerate(t) if anchor(word) and anchor(w) == anchor(word)), None)
+                if offset is None:
+                    continue
+                a = Counter(text[max(place - offset, 0) : place - offset + len(t)])
+                b = Counter(t)
+                norms = [math.sqrt(sum((n * weight(w)) ** 2 for w, n in c.items())) for c in (a, b)]
+                dot = sum(n * b[w] * weight(w) ** 2 for w, n in a.items())
+                want[i, place, k] = dot / (norms[0] * norms[1]) if norms[0] * norms[1] else 0.0
+    got = {(r.scan_row, r.place, r.template): r.cosine for r in license_scan._scored(df, "text").collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 # --- 10 ---
 
 
