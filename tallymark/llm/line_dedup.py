@@ -5,13 +5,15 @@ a 64-bit hash of its words.  Equal lines are one entry with the occurrence that
 the one whose hash of doc_id, text and place is least.  This exact step takes every line
 that is not blank.
 
-Entries of at least ``min_words`` words are also compared.  Their SimHash has 64 bits in
-six blocks (``BLOCKS``); each distinct word votes in one block only, chosen by a second
-hash.  So a changed word touches two blocks at most, and lines a few words apart still
-agree in whole blocks.  A block's code is its bits, or all its counts where it has few
-words.  Entries meet under the keys made of two blocks' codes (15, leaving out those on
-fewer than ``KEY_WORDS`` words) if their SimHashes differ in at most ``BITS`` bits.  They
-are linked if their edit similarity is at least ``similarity``.  Each entry first meets
+Entries of at least ``min_words`` words are also compared.  The hashes of a line's distinct
+words give both its SimHash of 63 bits and its blocks: the hashes are put in order, as a ring,
+and each run of a few neighbours that begins at a chosen hash is a block (``TIERS`` has the
+words of a block and which hashes begin one, by the number of distinct words, so that long
+lines have more and longer blocks).  A changed word takes one hash out and puts one in, so it
+breaks the few blocks around these two places and no others: of enough blocks, some stay whole.
+Lines below the first tier have as blocks their words without any none, one or two of them, so
+lines with up to two changed words always share one.  Entries that share a block meet if their
+SimHashes, which lines of few words are not given, differ in at most ``BITS`` bits.  They are linked if their edit similarity is at least ``similarity``.  Each entry first meets
 the least one of its key; links make components; then all pairs of a key that lie in
 different components meet, in blocks of ``DEAL`` against ``DEAL`` where a key has more.
 So every pair of a key is compared or lies in one component already.  Of each connected
@@ -20,9 +22,6 @@ group, the occurrence with the least hash is kept.
 Edit similarity is 1 - distance / length of the longer line: over characters up to
 ``LONG`` characters, over words (one character each) beyond.
 
-Word counts are added up in doubles, two to a sum (``FIELD``).  A line whose occurrences
-hold more than ``MOST`` words overflows them; it is summed again over its kept occurrence.
-
 Defined results: blank lines are always kept; a text of which no line is dropped comes
 back as it was; a null text stays null and an empty one empty; rows that agree in doc_id
 and text are one document and get the same lines; a null doc_id is a value like others;
@@ -32,31 +31,29 @@ words (so lines in scripts without blanks) are only compared exactly.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import sheltered, without, written
 from tallymark.llm.graph import components
 
-#: First bit and width of the blocks of a SimHash.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: The tables: pairs of blocks.
-TABLES = tuple(combinations(range(len(BLOCKS)), 2))
-#: Distinct words that the two blocks of a key hold at least.
-KEY_WORDS = 3
-#: Distinct words of a block up to which its code is all its counts, not only their majorities.
-COUNTED = 6
-#: Bits in which compared lines may differ (no link of a sample of 334 that share a key differs in more).
-BITS = 14
-#: Bits of one of the two counts in a sum of doubles, and the largest count.
-FIELD, MOST = 26, (1 << 26) - 1
+#: Blocks of lines by their distinct words: the least number of these, words of a block, and one in how many hashes begins one.
+TIERS = ((8, 3, 1), (16, 4, 2), (32, 4, 3), (64, 5, 4))
+#: Words that a block of a line below the first tier has at least.
+LEAST = 3
+#: Lines of up to so many times a tier's least number also have the blocks of the tier below.
+OVERLAP = 1.25
+#: Bits of a SimHash, and the widths of the counters that they are added up in, from the narrowest.
+SIMHASH, COUNTERS = 63, (9, 21, 63)
+#: Bits in which compared lines may differ: at a cosine of 0.8, 12.9 of 63 differ on average, by 3.2 more or less; this is two and a half times that above.
+BITS = 21
 #: Entries of a key that are compared in one block, on average.
 DEAL = 1024
 #: Characters up to which distances are taken over characters.
 LONG = 120
-#: Entries to compare whose places may be broadcast (some 50 bytes each).
+#: Entries to compare whose places, or keys whose counts, may be broadcast (some 50 bytes each).
 FEW = 500_000
 
 
@@ -72,81 +69,52 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _signed(bits: int) -> int:
-    return bits - (1 << 64) if bits >= 1 << 63 else bits
-
-
-#: Pairs of bits whose counts share a sum, and pairs of blocks whose words do.
-_BITS = [(k, k + FIELD) for k in range(FIELD)] + [(k, k + 6) for k in range(2 * FIELD, 2 * FIELD + 6)]
-_SIZES = [(g, g + 3) for g in range(3)]
-
-
-def voting(x: Column, g: Column) -> list[Column]:
-    """What a word with hash x votes in its block g, as columns: bits 0 to 51, bits 52 to 63 and the block, each with both bits of a pair FIELD apart."""
-    mask = F.array(*[F.lit(_signed(((1 << w) - 1) << at)).cast("long") for at, w in BLOCKS])
-    v = x.bitwiseAND(F.element_at(mask, g + 1))
-    rest = F.shiftrightunsigned(v, 2 * FIELD).bitwiseAND(F.lit(63).cast("long")).bitwiseOR(F.shiftleft(F.shiftrightunsigned(v, 2 * FIELD + 6), FIELD))
-    own = F.element_at(F.array(*[F.lit(1 << (g % 3 + FIELD * (g // 3))).cast("long") for g in range(len(BLOCKS))]), g + 1)
-    return [v.alias("v"), rest.alias("rest"), own.alias("own")]
-
-
-def votes() -> list[Column]:
-    """Sums over the words of a group: ones by bit and words by block."""
-    both = F.lit((1 << FIELD) + 1)
-    one = lambda c, k: F.sum(F.shiftrightunsigned(c, k).bitwiseAND(both).cast("double"))
-    return [
-        *[one("v", k).alias(f"bits{k}") for k in range(FIELD)],
-        *[one("rest", k).alias(f"bits{2 * FIELD + k}") for k in range(6)],
-        *[one("own", k).alias(f"size{k}") for k in range(3)],
-    ]
-
-
-def _count(sums: str, k: int, pairs: list[tuple[int, int]]) -> Column:
-    i, high = next((i, k == j) for i, j in pairs if k in (i, j))
-    both = F.col(f"{sums}{i}")
-    return F.shiftrightunsigned(both, FIELD) if high else both.bitwiseAND(F.lit((1 << FIELD) - 1).cast("long"))
+def _votes(hashes: Column, width: int) -> Column:
+    """For each k under ``width`` a number with the counts of bits k, k + width, ..., each in a field of ``width`` bits."""
+    ones = F.lit(sum(1 << at for at in range(0, SIMHASH, width))).cast("long")
+    one = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda n, x: n + F.shiftrightunsigned(x, k).bitwiseAND(ones))
+    return F.array(*[one(k) for k in range(width)])
 
 
-def simhash() -> Column:
-    """The SimHash from the sums as longs: bits set in more than half of the words of their block.
-
-    Repeats of a line multiply all counts alike, so they do not matter.
-    """
+def _majorities(votes: str, n: Column, width: int) -> Column:
     bits = []
-    for g, (at, width) in enumerate(BLOCKS):
-        for k in range(at, at + width):
-            # the sign bit of n - 2 * ones
-            bits.append(F.shiftleft(F.shiftrightunsigned(F.col(f"n{g}") - 2 * _count("bits", k, _BITS), 63), k))
+    for bit in range(SIMHASH):
+        count = F.shiftrightunsigned(F.element_at(votes, bit % width + 1), bit // width * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        bits.append(F.shiftleft(F.shiftrightunsigned(n - 2 * count, 63), bit))  # the sign bit
     while len(bits) > 1:
-        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])]
+        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])] + bits[len(bits) // 2 * 2 :]
     return bits[0]
 
 
-def _nearest(x: Column) -> Column:
-    """The nearest whole number (Spark's round goes through decimals, which is many times as slow)."""
-    return (x + 0.5).cast("long")
+def _by_counter(n: Column, of: Callable[[int], Column]) -> Column:
+    """What ``of`` gives for the narrowest counter that holds n."""
+    narrow, wide, widest = COUNTERS
+    return F.when(n < 1 << narrow, of(narrow)).when(n < 1 << wide, of(wide)).otherwise(of(widest))
 
 
-def codes(times: Column) -> list[Column]:
-    """A code of 31 bits for each block; ``times`` is the number of occurrences that the sums hold.
+def _blocks(n: Column) -> Column:
+    """Hashes of the blocks of a line, from its columns hashes (in order), ring (the same, going on with the first ones) and all_words (their exclusive or)."""
 
-    A block of few words is the same in like lines or not at all, so all its counts make its code;
-    one of many words may keep its majorities where a word changes, so these alone do.
-    """
-    out = []
-    for g, (at, width) in enumerate(BLOCKS):
-        n = _nearest(F.col(f"n{g}") / times)
-        counts = F.xxhash64(n, *[_nearest(_count("bits", k, _BITS) / times) for k in range(at, at + width)])
-        majorities = F.shiftrightunsigned("sim", at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        out.append(F.when(n <= COUNTED, counts.bitwiseAND(F.lit((1 << 31) - 1).cast("long"))).otherwise(majorities).cast("int"))
-    return out
+    def of(tier: int) -> Column:
+        _, words, one_in = TIERS[tier]
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.pmod(F.element_at("hashes", i), F.lit(one_in)) == 0)
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(tier), F.slice("ring", i, words)))
+
+    def few() -> Column:
+        one = F.transform("hashes", lambda x: F.col("all_words").bitwiseXOR(x))
+        others = lambda i: F.transform(F.slice("hashes", i + 1, n), lambda x: F.col("all_words").bitwiseXOR(F.element_at("hashes", i)).bitwiseXOR(x))
+        two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), others))
+        left = F.concat(F.array("all_words"), F.when(n > LEAST, one).otherwise(none), F.when(n > LEAST + 1, two).otherwise(none))
+        return F.transform(left, lambda x: F.xxhash64(F.lit(-1), x))
 
+    none = F.array().cast("array<bigint>")
+    ends = [least * OVERLAP for least, _, _ in TIERS[1:]] + [None]
+    here = [(n >= least) if end is None else (n >= least) & (n < end) for (least, _, _), end in zip(TIERS, ends)]
+    return F.array_distinct(F.concat(F.when(_few(n), few()).otherwise(none), *[F.when(c, of(tier)).otherwise(none) for tier, c in enumerate(here)]))
 
-def keys(codes: Column, sizes: Column) -> Column:
-    """The keys of an entry, each of two blocks, with the table's number in front; null on too few words."""
-    at = lambda of, g: F.element_at(of, g + 1)
-    key = lambda k, i, j: F.xxhash64(F.lit(k), at(codes, i), at(codes, j)).bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(k << 32))
-    return F.array(*[F.when(at(sizes, i) + at(sizes, j) >= KEY_WORDS, key(k, i, j)) for k, (i, j) in enumerate(TABLES)])
+
+def _few(n: Column) -> Column:
+    return n < TIERS[0][0] * OVERLAP
 
 
 def _as_characters(words: Column) -> Column:
@@ -173,13 +141,10 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return rows.where(F.size("words") > 0)
 
 
-def _summed(lines: DataFrame) -> DataFrame:
-    """A row for each distinct line: id, kept occurrence, n words in all occurrences, n_words in one, and the sums of votes.
-
-    All sums and minima are over numbers of fixed width, so the words are added up in hash
-    tables before the shuffle, one row for each line and task.
-    """
-    seen = lines.select(
+def entries_of(docs: DataFrame, text: str) -> DataFrame:
+    """A row for each distinct line, with its kept occurrence (doc_id, h, place), SimHash and blocks."""
+    hashes = F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
+    seen = _lines(docs, text).select(
         F.xxhash64("words").alias("id"),
         F.xxhash64("words", F.lit(1)).alias("check"),
         "doc_id",
@@ -187,62 +152,36 @@ def _summed(lines: DataFrame) -> DataFrame:
         "place",
         F.xxhash64("doc_id", "h", "place").alias("o"),
         F.size("words").alias("n_words"),
-        F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"),
+        hashes.alias("hashes"),
     )
-    seen = seen.withColumn("n_distinct", F.size("hashes"))
-    each = seen.select("id", "check", "doc_id", "h", "place", "o", "n_words", "n_distinct", F.explode_outer("hashes").alias("x"))
-    each = each.withColumn("g", F.pmod(F.hash("x"), F.lit(len(BLOCKS)))).withColumns({c: v for c, v in zip(("v", "rest", "own"), voting(F.col("x"), F.col("g")))})
-    of_first = [F.min_by(c, "o").alias(c) for c in ("doc_id", "h", "place")]
-    fixed = [F.min("check").alias("check"), F.max("check").alias("check2"), F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct")]
-    return each.groupBy("id").agg(F.min("o").alias("o"), *of_first, *fixed, F.count("*").alias("n"), *votes())
-
-
-def _named(sums: DataFrame) -> DataFrame:
-    """The entries from their sums; sim is null where these overflowed."""
-    fits = F.col("n") <= MOST
-    names = [f"bits{i}" for i, _ in _BITS] + [f"size{i}" for i, _ in _SIZES]
-    whole = sums.withColumns({c: F.when(fits, F.col(c)).otherwise(0.0).cast("long") for c in names})
-    whole = whole.withColumns({f"n{g}": _count("size", g, _SIZES) for g in range(len(BLOCKS))})
-    times = F.col("n") / F.col("n_distinct")  # occurrences
-    # next to a lambda, Spark compiles the SimHash as many small methods instead of one that is too large for the JVM to optimise
-    sizes = F.transform(F.array(*[f"n{g}" for g in range(len(BLOCKS))]), lambda n: F.least(F.lit(KEY_WORDS), _nearest(n / times)).cast("int"))
-    clash = (F.col("check") != F.col("check2")).alias("clash")
-    whole = whole.select("*", F.when(fits, simhash()).alias("sim"), sizes.alias("sizes"), times.alias("times"))
-    named = whole.select("id", "o", "doc_id", "h", "place", "n_words", clash, "sim", "sizes", *[c.alias(f"code{g}") for g, c in enumerate(codes(F.col("times")))])
-    return named.select("id", "o", "doc_id", "h", "place", "n_words", "clash", "sim", "sizes", F.array(*[f"code{g}" for g in range(len(BLOCKS))]).alias("codes"))
-
-
-def entries_of(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each distinct line, with its kept occurrence (doc_id, h, place), SimHash and the words of its blocks."""
-    lines = _lines(docs, text)
-    found = written(_named(_summed(lines)), "line-entries")
-    over = found.where("sim is null").select("doc_id", "h", "place")
-    if over.isEmpty():
-        return found
-    here = [lines[c].eqNullSafe(over[c]) for c in ("doc_id", "h", "place")]
-    again = _named(_summed(lines.join(over, here[0] & here[1] & here[2], "left_semi")))
-    clash = found.where("sim is null").select(F.col("id").alias("i"), F.col("clash").alias("had"))
-    again = again.join(clash, F.col("id") == F.col("i")).withColumn("clash", F.col("had")).select(*found.columns)
-    return written(found.where("sim is not null").unionByName(again), "line-entries")
+    n, most = F.size("hashes"), max(words for _, words, _ in TIERS)
+    ring = F.concat("hashes", F.slice("hashes", 1, most - 1)).alias("ring")
+    all_words = F.when(_few(n), F.aggregate("hashes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))).alias("all_words")
+    seen = seen.select("*", ring, all_words, _by_counter(n, lambda width: _votes(F.col("hashes"), width)).alias("votes"))
+    sim = F.when(~_few(n), _by_counter(n, lambda width: _majorities("votes", n.cast("long"), width)))
+    seen = seen.select("id", "check", "o", F.struct("doc_id", "h", "place", "n_words", sim.alias("sim"), _blocks(n).alias("blocks")).alias("line"))
+    # one row for each line and task goes into the shuffle
+    each = seen.groupBy("id").agg(F.min("o").alias("o"), F.min_by("line", "o").alias("line"), (F.min("check") != F.max("check")).alias("clash"))
+    return written(each.select("id", "o", "clash", "line.*"), "line-entries")
 
 
-def differing(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def may_be_near(a: str, b: str) -> Column:
+    return F.coalesce(F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS, F.lit(True))
 
 
 def met(entries: DataFrame) -> DataFrame:
     """A row for each entry and key that holds others: key, id, n and the key's least entry."""
-    rows = entries.where("sim is not null").select("id", F.explode_outer(keys(F.col("codes"), F.col("sizes"))).alias("key"))
-    of_key = Window.partitionBy("key")
-    rows = rows.where("key is not null").select("key", "id", F.count("*").over(of_key).alias("n"), F.min("id").over(of_key).alias("first"))
-    return written(rows.where("n > 1"), "line-keys")
+    rows = entries.select("id", F.explode("blocks").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    shared = written(shared, "line-shared")
+    return written(rows.join(F.broadcast(shared) if shared.count() <= FEW else shared, "key").select("key", "id", "n", "first"), "line-keys")
 
 
 def stars(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Near pairs (a, b) of an entry and the least one of its key."""
     pairs = rows.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     sims = lambda s: entries.select(F.col("id").alias(s), F.col("sim").alias(f"sim_{s}"))
-    return pairs.join(sims("a"), "a").join(sims("b"), "b").where(differing("sim_a", "sim_b") <= BITS).select("a", "b")
+    return pairs.join(sims("a"), "a").join(sims("b"), "b").where(may_be_near("sim_a", "sim_b")).select("a", "b")
 
 
 def across(rows: DataFrame, entries: DataFrame, groups: DataFrame) -> DataFrame:
@@ -256,7 +195,7 @@ def across(rows: DataFrame, entries: DataFrame, groups: DataFrame) -> DataFrame:
     side = lambda s, *block: dealt.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "sim", "c")], *block)
     x = side("a", F.col("place").alias("lo"), F.explode(F.sequence("place", "last")).alias("hi"))
     y = side("b", F.col("place").alias("hi"), F.explode(F.sequence(F.lit(0).cast("long"), "place")).alias("lo"))
-    near = (F.col("c_a") != F.col("c_b")) & (differing("sim_a", "sim_b") <= BITS) & ((F.col("lo") < F.col("hi")) | (F.col("id_a") < F.col("id_b")))
+    near = (F.col("c_a") != F.col("c_b")) & may_be_near("sim_a", "sim_b") & ((F.col("lo") < F.col("hi")) | (F.col("id_a") < F.col("id_b")))
     return x.join(y, ["key", "lo", "hi"]).where(near).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
@@ -270,8 +209,8 @@ def _texts(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     found = keyed.join(F.broadcast(places) if few else places, here)
     # the lines are the one element of an array, so that they are made once for a document, not for each of its places
     pick = lambda lines: F.transform("at", lambda a: F.struct(a["id"].alias("id"), F.element_at(lines, a["place"] + 1).alias("line")))
-    own = F.flatten(F.transform(F.array(F.split(plain(F.col("whole")), "\n")), pick))
-    words = found.select(F.explode_outer(own).alias("at")).select("at.id", words_of(F.col("at.line")).alias("words"))
+    own = F.flatten(F.transform(F.array(F.split("whole", "\n")), pick))
+    words = found.select(F.explode_outer(own).alias("at")).select("at.id", words_of(plain(F.col("at.line"))).alias("words"))
     texts = written(words.select("id", F.array_join("words", " ").alias("norm"), _as_characters(F.col("words")).alias("chars")), "line-texts")
     return texts if texts.count() == n else texts.dropDuplicates(["id"])  # more only where rows are repeated
 

@@ -1,8 +1,11 @@
 """Training-data operators against brute force, exact round trips, held-out accuracy and hard rows."""
 
 import base64
+import functools
 import hashlib
+import itertools
 import math
+import operator
 import random
 import re
 import zlib
@@ -293,26 +296,58 @@ def changed_lines(rng, groups, copies, sizes=(6, 60)):
     return sorted(set(out))
 
 
-def test_simhash_is_the_majority_of_each_block(spark):
-    lines = [" ".join(random.Random(i).choices([f"w{j}" for j in range(200)], k=n)) for i, n in enumerate((5, 6, 40, 300))]
-    df = docs(spark, ["\n".join(lines), lines[0], "short", lines[2]])
-    got = {r.place: r for r in line_dedup.entries_of(df, "text").where("n_words > 1").collect()}
-    assert len(got) == 4
-    for place, line in enumerate(lines):
-        rows = spark.createDataFrame([(w,) for w in {*line.split()}], "w string").select(F.xxhash64("w").alias("x")).select("x", F.pmod(F.hash("x"), F.lit(6)).alias("g")).collect()
-        want = 0
-        for g, (at, width) in enumerate(line_dedup.BLOCKS):
-            own = [r.x for r in rows if r.g == g]
-            want |= sum(1 << k for k in range(at, at + width) if 2 * sum((x >> k) & 1 for x in own) > len(own))
-            assert got[place].sizes[g] == min(3, len(own))
-        assert got[place].sim == (want - (1 << 64) if want >= 1 << 63 else want)
-
-
-def test_line_sums_that_overflow_are_taken_again(spark, monkeypatch):
-    df = docs(spark, ["a b c d e f g h\nx y z", "a b c d e f g h", "a b c d e f g h"])
-    want = sorted(map(tuple, line_dedup.entries_of(df, "text").collect()))
-    monkeypatch.setattr(line_dedup, "MOST", 8)
-    assert sorted(map(tuple, line_dedup.entries_of(df, "text").collect())) == want
+@pytest.mark.parametrize("counters", [(9, 21, 63), (3, 21, 63), (3, 7, 63)])
+def test_simhash_is_the_majority_of_the_words_in_every_counter(spark, monkeypatch, counters):
+    monkeypatch.setattr(line_dedup, "COUNTERS", counters)
+    lines = [" ".join(random.Random(i).choices([f"w{j}" for j in range(900)], k=n)) for i, n in enumerate((1, 5, 6, 40, 300, 3000))]
+    df = docs(spark, ["\n".join(lines), lines[0], lines[2]])
+    got = {r.h: r for r in line_dedup.entries_of(df, "text").select("n_words", "sim", "blocks", F.col("n_words").alias("h")).collect()}
+    assert len(got) == len(lines)
+    for line in lines:
+        words = sorted({*line.split()})
+        hashes = [r.x for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("x")).collect()]
+        want = sum(1 << k for k in range(63) if 2 * sum((x >> k) & 1 for x in hashes) > len(hashes))
+        assert got[len(line.split())].sim == (want if len(words) >= 10 else None)
+        # blocks: runs of the ring of hashes that begin at a chosen one
+        ring, want = sorted(hashes), set()
+        for tier, (least, size, one_in) in enumerate(line_dedup.TIERS):
+            end = line_dedup.TIERS[tier + 1][0] * line_dedup.OVERLAP if tier + 1 < len(line_dedup.TIERS) else math.inf
+            if least <= len(ring) < end:
+                round_ = ring + ring[: max(t for _, t, _ in line_dedup.TIERS) - 1]
+                want |= {(tier, *round_[i : i + size]) for i, x in enumerate(ring) if x % one_in == 0}
+        if len(ring) < 10:
+            few = [k for out in range(3) if out == 0 or len(ring) - out >= 3 for k in itertools.combinations(ring, len(ring) - out)]
+            want |= {(-1, functools.reduce(operator.xor, k)) for k in few}
+        form = lambda xs: f"{xs[0]}L" if len(xs) == 1 else f"array({','.join(f'{x}L' for x in xs)})"
+        rows = spark.sql("select inline(array(" + ",".join(f"struct(xxhash64({t}, {form(xs)}) as k)" for t, *xs in sorted(want)[:20]) + "))")
+        rows = [r.k for r in rows.collect()]
+        blocks = got[len(line.split())].blocks
+        assert len(blocks) == len(set(blocks)) == len(want) and set(rows) <= set(blocks)
+
+
+def test_links_found_by_length_and_share_of_changed_words(spark):
+    """At least nine in ten links in every class; words are frequent and rare ones, as in texts."""
+    rng = random.Random(23)
+    word = lambda: f"w{int(rng.paretovariate(0.6))}"
+    classes = {(n, share): [] for n in ((12, 29), (30, 59), (60, 200)) for share in (0.03, 0.08, 0.14)}
+    for (sizes, share), pairs in classes.items():
+        while len(pairs) < 60:
+            base = [word() for _ in range(rng.randint(*sizes))]
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, round(share * len(base)))):
+                copy[at] = word()
+            base, copy = " ".join(base), " ".join(copy)
+            if base != copy and edit_alike(base, copy):
+                pairs.append((base, copy))
+    df = docs(spark, [x for pairs in classes.values() for pair in pairs for x in pair])
+    entries = line_dedup.entries_of(df, "text")
+    names = {r.doc_id: r.id for r in entries.collect()}
+    label = {r.node: r.component for r in components(line_dedup.links(entries, df, 0.8, "text")).collect()}
+    at = 0
+    for name, pairs in classes.items():
+        ids = [(names.get(at + 2 * i), names.get(at + 2 * i + 1)) for i in range(len(pairs))]
+        assert sum(x in label and label[x] == label.get(y) for x, y in ids) >= 0.9 * len(pairs), name
+        at += 2 * len(pairs)
 
 
 def test_lines_equal_and_alike_stay_once(spark):
@@ -348,7 +383,7 @@ def test_line_groups_against_brute_force_edit_similarity(spark, monkeypatch, dea
     by = {}
     for key, i, sim in rows:
         by.setdefault(key, []).append((i, sim))
-    met = {frozenset((i, j)) for v in by.values() for i, s in v for j, t in v if i != j and bin((s ^ t) & ((1 << 64) - 1)).count("1") <= line_dedup.BITS}
+    met = {frozenset((i, j)) for v in by.values() for i, s in v for j, t in v if i != j and (s is None or t is None or (s ^ t).bit_count() <= line_dedup.BITS)}
     name = {r.doc_id: r.id for r in entries.collect()}
     at = {x: name[i] for i, x in enumerate(lines)}
     assert sum(frozenset((at[a], at[b])) in met for a, b in brute) >= 0.9 * len(brute)
@@ -358,7 +393,7 @@ def test_lines_of_a_key_whose_least_entry_is_unlike_them(spark, monkeypatch):
     a, b = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
     lines = [f"{x} {y}" for x in (a, b) for y in ("one", "two", "three")]
     df = docs(spark, lines)
-    entries = line_dedup.entries_of(df, "text").withColumn("sim", F.lit(5).cast("long")).withColumns({"sizes": F.array(*[F.lit(3)] * 6), "codes": F.array(*[F.lit(9)] * 6)})
+    entries = line_dedup.entries_of(df, "text").withColumns({"sim": F.lit(5).cast("long"), "blocks": F.array(F.lit(9).cast("long"))})
     groups = components(line_dedup.links(entries, df, 0.8, "text"))
     assert groups.count() == 6 and groups.select("component").distinct().count() == 2
     for deal in (1, 2):
@@ -381,11 +416,17 @@ def test_line_dedup_keeps_distinct_lines_and_columns(spark, empty):
     rows = out.collect()
     assert set(out.columns) == {*df.columns, "n_lines"}
     lines = [x for t in texts for x in t.split("\n")]
-    for r in rows:  # what is left out is like a line that stays
+    for r in rows:
         stays = r.text.split("\n")
         assert r.n_dropped == 2 - len([x for x in stays if x])
     kept = [x for r in rows for x in r.text.split("\n") if x]
-    assert all(any(x == y or edit_alike(x, y) for y in kept) for x in lines)
+    # one line of each connected group stays: what is left out may be like it through others only
+    near = {x: [y for y in lines if x == y or edit_alike(x, y)] for x in lines}
+    label = {x: x for x in lines}
+    for _ in lines:
+        for x in lines:
+            label[x] = min(label[y] for y in near[x])
+    assert {label[x] for x in kept} == set(label.values()) and len(kept) == len(set(label.values())) < len(set(lines))
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
