@@ -7,11 +7,11 @@ that is not blank.
 
 Entries of at least ``min_words`` words are also compared.  The hashes of a line's distinct
 words give both its SimHash of 63 bits and its blocks: the hashes are put in order, as a ring,
-and each run of a few neighbours that begins at a chosen hash is a block (``TIERS`` has the
-words of a block and which hashes begin one, by the number of distinct words, so that long
-lines have more and longer blocks).  A changed word takes one hash out and puts one in, so it
-breaks the few blocks around these two places and no others: of enough blocks, some stay whole.
-Lines below the first tier have as blocks their words without any none, one or two of them, so
+and each run of a few neighbours that begins at a chosen hash is a block.  A hash is chosen by
+itself, in longer lines one in two, four, eight and so on, each choice part of the one before:
+a line has 10 to 20 blocks however long it is.  A changed word takes one hash out and puts one
+in, so it breaks the few blocks around these two places and no others: of enough, some stay whole.
+Lines of fewer than ``FEW_WORDS`` words have as blocks their words without any none, one or two of them, so
 lines with up to two changed words always share one.  Entries that share a block meet if their
 SimHashes, which lines of few words are not given, differ in at most ``BITS`` bits.  They are linked if their edit similarity is at least ``similarity``.  Each entry first meets
 the least one of its key; links make components; then all pairs of a key that lie in
@@ -39,12 +39,10 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import sheltered, without, written
 from tallymark.llm.graph import components
 
-#: Blocks of lines by their distinct words: the least number of these, words of a block, and one in how many hashes begins one.
-TIERS = ((8, 3, 1), (16, 4, 2), (32, 4, 3), (64, 5, 4))
-#: Words that a block of a line below the first tier has at least.
-LEAST = 3
-#: Lines of up to so many times a tier's least number also have the blocks of the tier below.
-OVERLAP = 1.25
+#: Distinct words below which a line's blocks are its words but up to two, and the least number of words of such a block.
+FEW_WORDS, LEAST = 10, 3
+#: Lines of 8 to 19 distinct words have a block of 3 at each hash, and those from 16 on blocks of 4 at some (``_one_in``), so that near lines have blocks of one kind.
+SHORT, SHORT_BLOCK, LONGER, LONGER_BLOCK = (8, 20), 3, 16, 4
 #: Bits of a SimHash, and the widths of the counters that they are added up in, from the narrowest.
 SIMHASH, COUNTERS = 63, (9, 21, 63)
 #: Bits in which compared lines may differ: at a cosine of 0.8, 12.9 of 63 differ on average, by 3.2 more or less; this is two and a half times that above.
@@ -93,12 +91,10 @@ def _by_counter(n: Column, of: Callable[[int], Column]) -> Column:
 
 
 def _blocks(n: Column) -> Column:
-    """Hashes of the blocks of a line, from its columns hashes (in order), ring (the same, going on with the first ones) and all_words (their exclusive or)."""
+    """Hashes of the blocks of a line, from its columns hashes (in order), ring (the same, going on with the first ones), all_words (their exclusive or) and one_in."""
 
-    def of(tier: int) -> Column:
-        _, words, one_in = TIERS[tier]
-        starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.pmod(F.element_at("hashes", i), F.lit(one_in)) == 0)
-        return F.transform(starts, lambda i: F.xxhash64(F.lit(tier), F.slice("ring", i, words)))
+    def runs(words: int, here: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(1), n), here), lambda i: F.xxhash64(F.lit(words), F.slice("ring", i, words)))
 
     def few() -> Column:
         one = F.transform("hashes", lambda x: F.col("all_words").bitwiseXOR(x))
@@ -108,13 +104,18 @@ def _blocks(n: Column) -> Column:
         return F.transform(left, lambda x: F.xxhash64(F.lit(-1), x))
 
     none = F.array().cast("array<bigint>")
-    ends = [least * OVERLAP for least, _, _ in TIERS[1:]] + [None]
-    here = [(n >= least) if end is None else (n >= least) & (n < end) for (least, _, _), end in zip(TIERS, ends)]
-    return F.array_distinct(F.concat(F.when(_few(n), few()).otherwise(none), *[F.when(c, of(tier)).otherwise(none) for tier, c in enumerate(here)]))
+    short = F.when((n >= SHORT[0]) & (n < SHORT[1]), runs(SHORT_BLOCK, lambda i: F.lit(True))).otherwise(none)
+    longer = F.when(n >= LONGER, runs(LONGER_BLOCK, lambda i: F.pmod(F.element_at("hashes", i), "one_in") == 0)).otherwise(none)
+    return F.array_distinct(F.concat(F.when(_few(n), few()).otherwise(none), short, longer))
+
+
+def _one_in(n: Column) -> Column:
+    """Two for lines of up to 39 words, 4 up to 79, 8 up to 159 and so on."""
+    return F.greatest(F.lit(2), F.pow(2.0, F.floor(F.log2(n / 40)) + 2)).cast("long")
 
 
 def _few(n: Column) -> Column:
-    return n < TIERS[0][0] * OVERLAP
+    return n < FEW_WORDS
 
 
 def _as_characters(words: Column) -> Column:
@@ -154,10 +155,10 @@ def entries_of(docs: DataFrame, text: str) -> DataFrame:
         F.size("words").alias("n_words"),
         hashes.alias("hashes"),
     )
-    n, most = F.size("hashes"), max(words for _, words, _ in TIERS)
-    ring = F.concat("hashes", F.slice("hashes", 1, most - 1)).alias("ring")
+    n = F.size("hashes")
+    ring = F.concat("hashes", F.slice("hashes", 1, LONGER_BLOCK - 1)).alias("ring")
     all_words = F.when(_few(n), F.aggregate("hashes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))).alias("all_words")
-    seen = seen.select("*", ring, all_words, _by_counter(n, lambda width: _votes(F.col("hashes"), width)).alias("votes"))
+    seen = seen.select("*", ring, all_words, _one_in(n).alias("one_in"), _by_counter(n, lambda width: _votes(F.col("hashes"), width)).alias("votes"))
     sim = F.when(~_few(n), _by_counter(n, lambda width: _majorities("votes", n.cast("long"), width)))
     seen = seen.select("id", "check", "o", F.struct("doc_id", "h", "place", "n_words", sim.alias("sim"), _blocks(n).alias("blocks")).alias("line"))
     # one row for each line and task goes into the shuffle

@@ -310,11 +310,10 @@ def test_simhash_is_the_majority_of_the_words_in_every_counter(spark, monkeypatc
         assert got[len(line.split())].sim == (want if len(words) >= 10 else None)
         # blocks: runs of the ring of hashes that begin at a chosen one
         ring, want = sorted(hashes), set()
-        for tier, (least, size, one_in) in enumerate(line_dedup.TIERS):
-            end = line_dedup.TIERS[tier + 1][0] * line_dedup.OVERLAP if tier + 1 < len(line_dedup.TIERS) else math.inf
-            if least <= len(ring) < end:
-                round_ = ring + ring[: max(t for _, t, _ in line_dedup.TIERS) - 1]
-                want |= {(tier, *round_[i : i + size]) for i, x in enumerate(ring) if x % one_in == 0}
+        n = len(ring)
+        one_in = 2 if n < 40 else 4 << int(math.log2(n / 40))
+        for size, chosen in ((3, ring if 8 <= n < 20 else []), (4, [x for x in ring if x % one_in == 0] if n >= 16 else [])):
+            want |= {(size, *(ring + ring)[ring.index(x) :][:size]) for x in chosen}
         if len(ring) < 10:
             few = [k for out in range(3) if out == 0 or len(ring) - out >= 3 for k in itertools.combinations(ring, len(ring) - out)]
             want |= {(-1, functools.reduce(operator.xor, k)) for k in few}
