@@ -104,6 +104,32 @@ def test_lm_probabilities_add_up_to_one():
         assert p.sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("narrow", [1, 10**9])
+def test_seating_has_the_distribution_of_the_model(monkeypatch, narrow):
+    """Entries of 40 customers, moved one by one, have t tables with the probability of a Pitman-Yor restaurant whose other tables are fixed."""
+    monkeypatch.setattr(lm_score, "NARROW", narrow)
+    c, others, p, d, lanes = 40, 3.0, 0.3, 0.4, 1500
+    ways = np.zeros(c + 1)  # of seating the customers so far at t tables
+    ways[1] = others * p
+    for n in range(1, c):
+        t = np.arange(c + 1)
+        more = np.zeros(c + 1)
+        more[1:] = ways[:-1] * (others + d * t[:-1]) * p
+        ways = ways * np.maximum(n - d * t, 0) + more
+        ways /= ways.sum()
+    rng = np.random.default_rng(5)
+    full = lambda x: np.full(lanes, x)
+    tables, sizes = lm_score.seat(np.full(lanes, c), full(others), full(p), full(p), d, rng)
+    for _ in range(50):
+        tables, sizes = lm_score.seat(np.full(lanes, c), full(others), full(p), full(p), d, rng, tables, sizes)
+        assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == c).all()
+    want = ways @ np.arange(c + 1)
+    assert abs(tables.mean() - want) < 5 * tables.std() / lanes**0.5
+    assert np.abs(np.bincount(tables, minlength=c + 1) / lanes - ways).sum() < 0.2
+    fewer, sizes = lm_score.seat(np.full(lanes, 20), full(others), full(p), full(p), d, rng, tables, sizes)
+    assert (np.add.reduceat(sizes, np.cumsum(fewer) - fewer) == 20).all() and fewer.mean() < tables.mean()
+
+
 def test_lm_without_training_rows(spark, empty):
     df = docs(spark, ["a b"])
     row = lm_score.score(df, lm_score.learn(empty)).first()
