@@ -239,6 +239,26 @@ def test_near_duplicates_of_nothing_and_repeated_rows(spark, empty):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dups.near_duplicates(df, 2).collect()) == [("2", "2", True), ("3", "2", False), ("3", "2", False), ("None", "None", True)]
 
 
+def test_components_read_the_links_of_a_group_once(spark, monkeypatch):
+    """A hub with 3,000 nodes and a chain of 300: links that lie inside a group are not read in later rounds."""
+    from tallymark.llm import graph
+
+    sizes, chain = [], random.Random(4).sample(range(10_000, 10_300), 300)
+    keep = graph.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    links = [(0, i) for i in range(1, 3001)] + list(zip(chain, chain[1:]))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3001)} | {i: 10_000 for i in range(10_000, 10_300)}
+    assert sizes[0] == 2 * len(links) and sum(sizes[1:]) < 2000 and sizes[-1] == 0
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
