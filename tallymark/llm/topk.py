@@ -4,7 +4,8 @@ Candidates are dealt into blocks and queries into blocks; each pair of blocks is
 one task.  In a block, every dimension is a list of the candidates, sorted by
 their part of the score (which end comes first depends on the sign of the
 query's component).  The lists are read from the top by cursors that advance in
-rounds; a round adds up what is newly read of the candidates still in play.  Each
+rounds; a round adds up what the cursors have met of the candidates still in play, for all
+queries at once as products of matrices.  Each
 candidate's score is bounded from below with the least entry of the lists in
 which it was not met, from above with the entries at the cursors.  A candidate
 whose upper bound is under the k-th lower bound of a query is out for it, and is
@@ -54,28 +55,21 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
     sorted_x = np.take_along_axis(x, order, axis=0).astype(float)
     up, down = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
     floor = np.full(len(q), -np.inf) if floor is None else floor
-    active, alive = np.arange(len(q)), np.ones(n, bool)
-    seen = np.zeros((n, len(q)))
-    met = np.zeros((2, n, d), bool)  # candidates met by the cursors from the high and the low end
-    out, old = [], 0
+    active, here = np.arange(len(q)), np.arange(n)
+    place = np.empty((n, d), np.int32)  # of each candidate in the list of each dimension
+    np.put_along_axis(place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+    out = []
     for part in ROUNDS:
         depth = min(n, max(k, int(np.ceil(n * part))))
         a, b = up[active].T, down[active].T
-        for j in range(d):
-            for end, rows, weight in ((0, order[n - depth : n - old, j], a[j]), (1, order[old:depth, j], b[j])):
-                rows = rows[alive[rows]]
-                met[end, rows, j] = True
-                if weight.any():
-                    seen[rows] += x[rows, j, None] * weight
-        old = depth
-        here = np.flatnonzero(alive)
-        high, low = ~met[0, here], ~met[1, here]
+        mine, own_x = place[here], x[here].astype(float)
+        high, low = mine >= n - depth, mine < depth  # met by the cursors from the high and the low end
         # not met: at most the entry at the cursor, at least the last of the list
-        most = high @ (sorted_x[n - depth][:, None] * a) + low @ (sorted_x[depth - 1][:, None] * b)
-        least = high @ (sorted_x[0][:, None] * a) + low @ (sorted_x[-1][:, None] * b)
+        most = np.where(high, own_x, sorted_x[n - depth]) @ a + np.where(low, own_x, sorted_x[depth - 1]) @ b
+        least = np.where(high, own_x, sorted_x[0]) @ a + np.where(low, own_x, sorted_x[-1]) @ b
         own = ids[here, None] == query_ids[active][None, :]
-        lower = np.where(own, -np.inf, seen[here] + least)
-        upper = np.where(own, -np.inf, seen[here] + most)
+        lower = np.where(own, -np.inf, least)
+        upper = np.where(own, -np.inf, most)
         kth = np.partition(lower, len(here) - k, axis=0)[len(here) - k] if len(here) > k else np.full(len(active), -np.inf)
         left = (upper >= np.maximum(kth, floor[active])) & ~own
         few = left.sum(0) <= 4 * k if depth < n else np.ones(len(active), bool)
@@ -84,10 +78,10 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
             scores = x[rows] @ q[active[j]]
             best = np.lexsort((ids[rows], -scores))[:k]
             out.append((np.full(len(best), active[j]), rows[best], scores[best]))
-        active, seen = active[~few], seen[:, ~few]
+        active = active[~few]
         if not len(active):
             break
-        alive[here] = left[:, ~few].any(1)
+        here = here[left[:, ~few].any(1)]
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
 
