@@ -28,23 +28,27 @@ from pyspark.sql import types as T
 
 from tallymark.llm.common import add_columns, texts_of
 
-#: Entries kept in each memo of a worker before it is emptied (some 200 bytes each; an executor may run four workers with two memos).
+#: Entries kept in each memo of a worker (some 200 bytes each; an executor may run four workers with two memos).
 MEMO = 150_000
 #: The rank of a pair that does not merge.
 NONE = 1 << 40
 
 
 class _Memo(dict):
-    """A bounded dict that computes what it lacks."""
+    """A bounded dict that computes what it lacks; entries not asked for in the last half of its size are the ones it loses."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.size, self.before = make, size or MEMO, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        value = self.before.get(key, self)
+        if value is self:
+            value = self.make(key)
+        if len(self) >= self.size // 2:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

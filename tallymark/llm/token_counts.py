@@ -47,7 +47,9 @@ CHUNK = 1 << 15
 #: A word with the spaces before it: what lies between two places where the state is known.
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: States kept by a worker before it starts anew.
-STATES = 150_000
+STATES = 300_000
+#: Entries in each memo of a worker; there is one worker for each core here, and no second stage.
+MEMO = 600_000
 
 
 #: The score of a pair that does not merge.
@@ -78,10 +80,10 @@ class Transducer:
         self.open = {p[:n] for p in score for n in range(len(p))}  # what a longer piece begins with
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in score):
             raise ValueError("a piece runs over a space; texts cannot be split there")
-        self.fits = _Memo(self._fits)
+        self.fits = _Memo(self._fits, MEMO)
         self.root = State("", (None,), (0,))
         self.states: dict[tuple, State] = {}
-        self.units = _Memo(lambda unit: self.run(self.root, unit)[1])
+        self.units = _Memo(lambda unit: self.run(self.root, unit)[1], MEMO)
 
     def merged(self, text: str) -> list[str]:
         """The merge rules as they are defined; used on the few characters of a pair."""
