@@ -55,7 +55,7 @@ class _Memo(dict):
 class BytePairCodec:
     """Encoder and decoder for one rank file (lines of base64 token and rank)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -67,9 +67,9 @@ class BytePairCodec:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         #: The longest other token that begins this one, or -1.
-        self.shorter = _Memo(self._shorter)
-        self.fits = _Memo(self._fits)
-        self.pieces = _Memo(lambda piece: self.encode_bytes(piece.encode()))
+        self.shorter = _Memo(self._shorter, memo)
+        self.fits = _Memo(self._fits, memo)
+        self.pieces = _Memo(lambda piece: self.encode_bytes(piece.encode()), memo)
 
     def _shorter(self, token: int) -> int:
         whole = self.bytes_of[token]
@@ -129,17 +129,17 @@ class BytePairCodec:
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> BytePairCodec:
+def codec(path: str, pattern: str, memo: int = MEMO) -> BytePairCodec:
     """The codec of a rank file, built once in each worker."""
     with open(path, "rb") as lines:
-        return BytePairCodec({base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}, pattern)
+        return BytePairCodec({base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}, pattern, memo)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the token ids of ``text`` as an array of int."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", memo: int = MEMO) -> DataFrame:
+    """Add the token ids of ``text`` as an array of int; a worker keeps ``memo`` entries in each memo."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, memo)
         each = [c.encode(t) for t in texts_of(batch, text)]
         ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
         flat = np.concatenate(each) if each else np.empty(0, np.int32)

@@ -70,6 +70,12 @@ def test_memo_is_bounded_and_keeps_what_is_asked_for_often():
     assert made[0] == 1
 
 
+def test_bpe_with_memos_of_a_given_size(spark):
+    df = docs(spark, ["some words, and some more words 123", ""])
+    small, large = (bpe.encode(df, BPE_PATH, P.PATTERN, memo=n).orderBy("doc_id").collect() for n in (4, 300_000))
+    assert small == large and bpe.codec(BPE_PATH, P.PATTERN, 4).pieces.size == 4
+
+
 def test_bpe_of_nothing(empty):
     assert bpe.decode(bpe.encode(empty, BPE_PATH, P.PATTERN), BPE_PATH, P.PATTERN).collect() == []
 
