@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import sheltered, without, written
@@ -51,7 +51,7 @@ BITS = 21
 DEAL = 1024
 #: Characters up to which distances are taken over characters.
 LONG = 120
-#: Entries to compare whose places, or keys whose counts, may be broadcast (some 50 bytes each).
+#: Entries to compare whose places may be broadcast (some 50 bytes each).
 FEW = 500_000
 
 
@@ -172,10 +172,11 @@ def may_be_near(a: str, b: str) -> Column:
 
 def met(entries: DataFrame) -> DataFrame:
     """A row for each entry and key that holds others: key, id, n and the key's least entry."""
+    of_key = Window.partitionBy("key")
     rows = entries.select("id", F.explode("blocks").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    shared = written(shared, "line-shared")
-    return written(rows.join(F.broadcast(shared) if shared.count() <= FEW else shared, "key").select("key", "id", "n", "first"), "line-keys")
+    # the rows go through one shuffle, not one to count them and one to join the counts
+    rows = rows.select("key", "id", F.count("*").over(of_key).alias("n"), F.min("id").over(of_key).alias("first")).where("n > 1")
+    return written(rows, "line-keys")
 
 
 def stars(rows: DataFrame, entries: DataFrame) -> DataFrame:

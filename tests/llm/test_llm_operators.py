@@ -463,6 +463,15 @@ def test_lines_of_a_key_whose_least_entry_is_unlike_them(spark, monkeypatch):
         assert sorted(map(tuple, again.collect())) == sorted(map(tuple, groups.collect()))
 
 
+def test_keys_of_lines_go_through_one_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, [7, 8]), (2, [8]), (3, [9, 8, 7]), (4, [])], "id long, blocks array<bigint>")
+    plans = []
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    got = {tuple(r) for r in line_dedup.met(rows).collect()}
+    assert got == {(7, 1, 2, 1), (7, 3, 2, 1), (8, 1, 3, 1), (8, 2, 3, 1), (8, 3, 3, 1)}
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+
+
 def test_line_hashes_that_clash_drop_nothing(spark):
     docs_ = docs(spark, ["one two\nthree four", "one two", "five six seven"]).withColumn("kept_places", F.array(F.lit(7)))
     clash = docs_.limit(1).select(F.xxhash64(F.array(F.lit("one"), F.lit("two"))).alias("id"))
