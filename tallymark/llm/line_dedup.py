@@ -31,6 +31,7 @@ words (so lines in scripts without blanks) are only compared exactly.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +45,7 @@ FEW_WORDS, LEAST = 10, 3
 #: Lines of 8 to 19 distinct words have a block of 3 at each hash, and those from 16 on blocks of 4 at some (``_one_in``), so that near lines have blocks of one kind.
 SHORT, SHORT_BLOCK, LONGER, LONGER_BLOCK = (8, 20), 3, 16, 4
 #: Bits of a SimHash, and the widths of the counters that they are added up in, from the narrowest.
-SIMHASH, COUNTERS = 63, (9, 21, 63)
+SIMHASH, COUNTERS = 63, (7, 9, 21, 63)
 #: Bits in which compared lines may differ: at a cosine of 0.8, 12.9 of 63 differ on average, by 3.2 more or less; this is two and a half times that above.
 BITS = 21
 #: Entries of a key that are compared in one block, on average.
@@ -75,26 +76,29 @@ def _votes(hashes: Column, width: int) -> Column:
 
 
 def _majorities(votes: str, n: Column, width: int) -> Column:
-    bits = []
-    for bit in range(SIMHASH):
-        count = F.shiftrightunsigned(F.element_at(votes, bit % width + 1), bit // width * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        bits.append(F.shiftleft(F.shiftrightunsigned(n - 2 * count, 63), bit))  # the sign bit
-    while len(bits) > 1:
-        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])] + bits[len(bits) // 2 * 2 :]
-    return bits[0]
+    """The bits that more than half of n hashes have; all fields of a number at once."""
+    ones, top = sum(1 << at for at in range(0, SIMHASH, width)), width - 1
+    # a field's count is over n / 2 if it reaches its top bit with this added; under 2 ** width hashes it does not go beyond it
+    more = F.lit(ones).cast("long") * (F.lit((1 << top) - 1).cast("long") - F.shiftright(n, 1))
+    tops = F.lit(ones << top).cast("long")
+    over = [F.shiftrightunsigned((F.element_at(votes, k + 1) + more).bitwiseAND(tops), top - k) for k in range(width)]
+    return functools.reduce(Column.bitwiseOR, over)
 
 
 def _by_counter(n: Column, of: Callable[[int], Column]) -> Column:
     """What ``of`` gives for the narrowest counter that holds n."""
-    narrow, wide, widest = COUNTERS
-    return F.when(n < 1 << narrow, of(narrow)).when(n < 1 << wide, of(wide)).otherwise(of(widest))
+    out = of(COUNTERS[-1])
+    for width in COUNTERS[-2::-1]:
+        out = F.when(n < 1 << width, of(width)).otherwise(out)
+    return out
 
 
 def _blocks(n: Column) -> Column:
     """Hashes of the blocks of a line, from its columns hashes (in order), ring (the same, going on with the first ones), all_words (their exclusive or) and one_in."""
 
-    def runs(words: int, here: Callable[[Column], Column]) -> Column:
-        return F.transform(F.filter(F.sequence(F.lit(1), n), here), lambda i: F.xxhash64(F.lit(words), F.slice("ring", i, words)))
+    def run(words: int, x: Column, i: Column) -> Column:
+        """The hash of the size and the array of the hashes of a run: that of an array is that of its elements, one after the other."""
+        return F.xxhash64(F.lit(words), x, *[F.get("ring", i + k) for k in range(1, words)])
 
     def few() -> Column:
         one = F.transform("hashes", lambda x: F.col("all_words").bitwiseXOR(x))
@@ -104,8 +108,10 @@ def _blocks(n: Column) -> Column:
         return F.transform(left, lambda x: F.xxhash64(F.lit(-1), x))
 
     none = F.array().cast("array<bigint>")
-    short = F.when((n >= SHORT[0]) & (n < SHORT[1]), runs(SHORT_BLOCK, lambda i: F.lit(True))).otherwise(none)
-    longer = F.when(n >= LONGER, runs(LONGER_BLOCK, lambda i: F.pmod(F.element_at("hashes", i), "one_in") == 0)).otherwise(none)
+    short = F.when((n >= SHORT[0]) & (n < SHORT[1]), F.transform("hashes", lambda x, i: run(SHORT_BLOCK, x, i))).otherwise(none)
+    # those not chosen are 0 and taken out in one go
+    chosen = F.transform("hashes", lambda x, i: F.when(x.bitwiseAND(F.col("one_in") - 1) == 0, run(LONGER_BLOCK, x, i)).otherwise(F.lit(0).cast("long")))
+    longer = F.when(n >= LONGER, F.array_remove(chosen, F.lit(0).cast("long"))).otherwise(none)
     return F.array_distinct(F.concat(F.when(_few(n), few()).otherwise(none), short, longer))
 
 
@@ -217,12 +223,8 @@ def _texts(wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return texts if texts.count() == n else texts.dropDuplicates(["id"])  # more only where rows are repeated
 
 
-def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, similarity: float, text: str) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of entries whose edit similarity is high enough."""
-    pairs = written(pairs, "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = written(entries.join(ids, "id").select("id", "doc_id", "h", "place"), "line-ids")
-    texts = _texts(wanted, docs, text)
     side = lambda n: texts.select(F.col("id").alias(n), F.col("norm").alias(f"norm_{n}"), F.col("chars").alias(f"chars_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return written(both.where(edit_similar(similarity)).select("a", "b"), "line-links")
@@ -231,8 +233,11 @@ def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, similarity:
 def links(entries: DataFrame, docs: DataFrame, similarity: float, text: str) -> DataFrame:
     """Verified links (a, b) between entries, as many as their components need."""
     rows = met(entries)
-    found = verified(stars(rows, entries), entries, docs, similarity, text)
-    more = verified(across(rows, entries, components(found)), entries, docs, similarity, text)
+    # the entries that meet others; their texts are fetched once, for both rounds
+    meeting = written(entries.join(rows.select("id").distinct(), "id").select("id", "sim", "doc_id", "h", "place"), "line-ids")
+    texts = _texts(meeting, docs, text)
+    found = verified(stars(rows, meeting), texts, similarity)
+    more = verified(across(rows, meeting, components(found)), texts, similarity)
     return found.unionByName(more)
 
 

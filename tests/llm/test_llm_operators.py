@@ -502,6 +502,25 @@ def test_keys_of_lines_go_through_one_shuffle(spark, monkeypatch):
     assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
 
 
+def test_texts_of_lines_that_meet_are_fetched_once(spark, monkeypatch):
+    fetch, calls = line_dedup._texts, []
+    monkeypatch.setattr(line_dedup, "_texts", lambda wanted, *a: calls.append(wanted.count()) or fetch(wanted, *a))
+    base = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+    df = docs(spark, [" ".join([*x, y]) for x in base[:2] for y in ("one", "two", "three")] + [" ".join(base[2])])
+    groups = components(line_dedup.links(line_dedup.entries_of(df, "text"), df, 0.8, "text"))
+    assert calls == [6] and groups.count() == 6 and groups.select("component").distinct().count() == 2
+
+
+def test_simhash_of_lines_just_within_and_beyond_a_counter(spark):
+    lines = [" ".join(f"v{n}x{j}" for j in range(n)) for n in (10, 11, 126, 127, 128, 511, 512)]
+    got = {r.n_words: r.sim for r in line_dedup.entries_of(docs(spark, lines), "text").collect()}
+    assert line_dedup.COUNTERS[0] == 7 and len(got) == len(lines)
+    for line in lines:
+        words = line.split()
+        hashes = [r.x for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("x")).collect()]
+        assert got[len(words)] == sum(1 << k for k in range(63) if 2 * sum((x >> k) & 1 for x in hashes) > len(words))
+
+
 def test_line_hashes_that_clash_drop_nothing(spark):
     docs_ = docs(spark, ["one two\nthree four", "one two", "five six seven"]).withColumn("kept_places", F.array(F.lit(7)))
     clash = docs_.limit(1).select(F.xxhash64(F.array(F.lit("one"), F.lit("two"))).alias("id"))

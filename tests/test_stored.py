@@ -1,6 +1,7 @@
 """Published versions: what is committed, what readers see, and what is removed."""
 
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -87,3 +88,22 @@ def test_release_removes_intermediate_tables(spark, tmp_path, monkeypatch):
     assert list(tmp_path.rglob("four-*"))
     stored.release(spark)
     assert not list(tmp_path.rglob("four-*"))
+
+
+def test_shuffle_files_go_as_soon_as_a_table_is_written(spark, tmp_path):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, asked = files(), spark.conf.get(stored.CLEAN_UP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    df.write.parquet(str(tmp_path / "plain"))
+    assert files() - before  # as Spark has it by itself
+    before = files()
+    out = stored.stored(df, "grouped")
+    for _ in range(100):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(stored.CLEAN_UP, None) == asked
+    assert rows(out) == rows(df)
