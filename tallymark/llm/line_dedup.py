@@ -232,13 +232,19 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def links(entries: DataFrame, docs: DataFrame, similarity: float, text: str) -> DataFrame:
     """Verified links (a, b) between entries, as many as their components need."""
+
+    def wanted(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        return entries.join(ids, "id").select("id", "doc_id", "h", "place")
+
     rows = met(entries)
-    # the entries that meet others; their texts are fetched once, for both rounds
-    meeting = written(entries.join(rows.select("id").distinct(), "id").select("id", "sim", "doc_id", "h", "place"), "line-ids")
-    texts = _texts(meeting, docs, text)
-    found = verified(stars(rows, meeting), texts, similarity)
-    more = verified(across(rows, meeting, components(found)), texts, similarity)
-    return found.unionByName(more)
+    pairs = written(stars(rows, entries), "line-pairs")
+    texts = _texts(written(wanted(pairs), "line-ids"), docs, text)
+    found = verified(pairs, texts, similarity)
+    pairs = written(across(rows, entries, components(found)), "line-pairs")
+    # the texts of the first round are not fetched again
+    rest = _texts(written(wanted(pairs).join(texts.select("id"), "id", "left_anti"), "line-ids"), docs, text)
+    return found.unionByName(verified(pairs, texts.unionByName(rest), similarity))
 
 
 @sheltered

@@ -502,13 +502,13 @@ def test_keys_of_lines_go_through_one_shuffle(spark, monkeypatch):
     assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
 
 
-def test_texts_of_lines_that_meet_are_fetched_once(spark, monkeypatch):
+def test_no_text_of_a_line_is_fetched_twice(spark, monkeypatch):
     fetch, calls = line_dedup._texts, []
     monkeypatch.setattr(line_dedup, "_texts", lambda wanted, *a: calls.append(wanted.count()) or fetch(wanted, *a))
-    base = [[f"{c}{i}" for i in range(30)] for c in "abc"]
-    df = docs(spark, [" ".join([*x, y]) for x in base[:2] for y in ("one", "two", "three")] + [" ".join(base[2])])
-    groups = components(line_dedup.links(line_dedup.entries_of(df, "text"), df, 0.8, "text"))
-    assert calls == [6] and groups.count() == 6 and groups.select("component").distinct().count() == 2
+    df = docs(spark, [" ".join([*[f"{c}{i}" for i in range(30)], y]) for c in "ab" for y in ("one", "two", "three")])
+    entries = line_dedup.entries_of(df, "text").withColumns({"sim": F.lit(5).cast("long"), "blocks": F.array(F.lit(9).cast("long"))})
+    groups = components(line_dedup.links(entries, df, 0.8, "text"))
+    assert calls == [6, 0] and groups.count() == 6 and groups.select("component").distinct().count() == 2
 
 
 def test_simhash_of_lines_just_within_and_beyond_a_counter(spark):
