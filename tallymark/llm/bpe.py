@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tallymark.llm.common import add_columns, texts_of
 
-#: Entries kept in each memo of a worker (some 200 bytes each; an executor may run four workers), that of pieces may be given another size.
+#: Entries kept in each memo of a worker (some 200 bytes each; an executor runs a worker for each core, and idle ones keep theirs), that of pieces may be given another size.
 MEMO = 150_000
 #: The rank of a pair that does not merge.
 NONE = 1 << 40
@@ -184,11 +184,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     """Add the token ids of ``text`` as an array of int; a worker keeps ``memo`` pieces."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        c = codec(path, pattern, memo)
-        each = [c.encode(t) for t in texts_of(batch, text)]
-        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-        flat = np.concatenate(each) if each else np.empty(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        return [_ids(codec(path, pattern, memo), texts_of(batch, text))]
 
     return add_columns(df, [T.StructField(out, T.ArrayType(T.IntegerType()), False)], make)
 
@@ -197,23 +193,45 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     """Add the bytes that the token ids in ``ids`` stand for; a null list decodes to no bytes."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        c = codec(path, pattern)
-        column = batch.column(batch.schema.get_field_index(ids))
-        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        if column.null_count:
-            flat, ends = _without_nulls(column)
-        return [c.decode_all(flat[ends[0] : ends[-1]], ends - ends[0]).cast(pa.binary())]
+        return [_decoded(codec(path, pattern), batch.column(batch.schema.get_field_index(ids)))]
 
     return add_columns(df, [T.StructField(out, T.BinaryType(), False)], make)
 
 
+def round_trip(
+    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", memo: int = MEMO, drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """``encode`` and then ``decode`` in one pass: a task has one worker and that one codec, where two passes have two workers with memos each."""
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        c = codec(path, pattern, memo)
+        found = _ids(c, texts_of(batch, text))
+        return [found, _decoded(c, found)]
+
+    return add_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()), False), T.StructField(out, T.BinaryType(), False)], make, drop)
+
+
+def _ids(c: BytePairCodec, texts: list[str]) -> pa.ListArray:
+    each = [c.encode(t) for t in texts]
+    ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+    flat = np.concatenate(each) if each else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _decoded(c: BytePairCodec, column: pa.ListArray) -> pa.Array:
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    if column.null_count:
+        flat, ends = _without_nulls(column)
+    return c.decode_all(flat[ends[0] : ends[-1]], ends - ends[0]).cast(pa.binary())
+
+
 def _without_nulls(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and ends of lists of which null ones are empty."""
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sizes])
 
 
-def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list:
+def digests(ids: str = "ids", decoded: str = "decoded") -> list:
     """The contract's columns from an encoded and decoded table."""
     return [
         F.size(ids).cast("long").alias("n_tokens"),

@@ -19,7 +19,8 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, license_scan, line_dedup, lm_score, media, mixing, near_dups, token_counts, topk, toxicity
+import corpus_pipeline
+from tallymark.llm import bpe, license_scan, line_dedup, lm_score, media, mixing, near_dups, queries, token_counts, topk, toxicity
 from tallymark.llm.graph import components
 from tallymark.llm.queries import BPE_PATH, PIECES_PATH
 
@@ -106,6 +107,17 @@ def test_bpe_with_memos_of_a_given_size(spark):
     assert small == large and bpe.codec(BPE_PATH, P.PATTERN, 4).pieces.size == 4
 
 
+def test_round_trip_is_encode_and_decode_with_one_worker_a_task(spark, hard, monkeypatch):
+    """Two passes had two workers a task, each with a codec and memos, which idle workers keep through the next stages."""
+    two = bpe.decode(bpe.encode(hard, BPE_PATH, P.PATTERN), BPE_PATH, P.PATTERN)
+    one = bpe.round_trip(hard, BPE_PATH, P.PATTERN)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert bpe.round_trip(hard, BPE_PATH, P.PATTERN, drop=("text",)).columns == [c for c in two.columns if c != "text"]
+    passes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    monkeypatch.setattr(queries, "documents", lambda *_: hard)
+    assert passes(two) == 2 and passes(queries.op1_byte_bpe(spark, "")) == passes(corpus_pipeline.encode(spark, hard, "")) == 1
+
+
 def test_bpe_of_nothing(empty):
     assert bpe.decode(bpe.encode(empty, BPE_PATH, P.PATTERN), BPE_PATH, P.PATTERN).collect() == []
 
