@@ -13,7 +13,8 @@ a line has 10 to 20 blocks however long it is.  A changed word takes one hash ou
 in, so it breaks the few blocks around these two places and no others: of enough, some stay whole.
 Lines of fewer than ``FEW_WORDS`` words have as blocks their words without any none, one or two of them, so
 lines with up to two changed words always share one.  Entries that share a block meet if their
-SimHashes, which lines of few words are not given, differ in at most ``BITS`` bits.  They are linked if their edit similarity is at least ``similarity``.  Each entry first meets
+SimHashes, which lines of few words are not given, differ in at most ``BITS`` bits, and if nothing that is known of them without their
+texts rules out their edit similarity: the lengths, and two bitmaps of words.  They are linked if their edit similarity is at least ``similarity``.  Each entry first meets
 the least one of its key; links make components; then all pairs of a key that lie in
 different components meet, in blocks of ``DEAL`` against ``DEAL`` where a key has more.
 So every pair of a key is compared or lies in one component already.  Of each connected
@@ -48,6 +49,8 @@ SHORT, SHORT_BLOCK, LONGER, LONGER_BLOCK = (8, 20), 3, 16, 4
 SIMHASH, COUNTERS = 63, (7, 9, 21, 63)
 #: Bits in which compared lines may differ: at a cosine of 0.8, 12.9 of 63 differ on average, by 3.2 more or less; this is two and a half times that above.
 BITS = 21
+#: Bits of a word's hash that give its character (``_as_characters``), and bitmaps of 64 bits each that hold which words a line has, by the last of these bits.
+CHARACTER, BITMAPS = 12, 2
 #: Entries of a key that are compared in one block, on average.
 DEAL = 1024
 #: Characters up to which distances are taken over characters.
@@ -126,7 +129,7 @@ def _few(n: Column) -> Column:
 
 def _as_characters(words: Column) -> Column:
     """A string with one character for each word, from a hash to 4096 characters of private use."""
-    one = F.transform(words, lambda w: F.hex(F.lit(0xE000) + F.pmod(F.hash(w), F.lit(0x1000))))
+    one = F.transform(words, lambda w: F.hex(F.lit(0xE000) + F.xxhash64(w).bitwiseAND((1 << CHARACTER) - 1)))
     return F.decode(F.unhex(F.array_join(one, "")), "UTF-16BE")
 
 
@@ -139,6 +142,38 @@ def edit_similar(similarity: float) -> Column:
     return F.when(short, near(F.col("norm_a"), F.col("norm_b"))).otherwise(near(F.col("chars_a"), F.col("chars_b")))
 
 
+def _bitmap(hashes: Column, k: int) -> Column:
+    """Which words a line has, by the last bits of their hashes; those of the other bitmaps are left out."""
+
+    def bit(x: Column) -> Column:
+        here = F.shiftrightunsigned(x, 6).bitwiseAND(BITMAPS - 1) == k
+        return F.call_function("shiftleft", here.cast("long"), x.bitwiseAND(63).cast("int"))
+
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x)))
+
+
+#: What is known of an entry without its text.
+KNOWN = ("sim", "n_words", "n_chars", *[f"has_{k}" for k in range(BITMAPS)])
+
+
+def may_be_similar(similarity: float) -> Column:
+    """Whether lengths and words leave room for an edit similarity that is high enough; no pair that ``edit_similar`` takes is lost.
+
+    Each character of one line that the other lacks takes an edit, and so does each one that is too many.  Words that share a
+    bit of a bitmap share more than their characters do, so the bits that only one line has are no more than its characters that the other lacks.
+    """
+
+    def room(n: str, *edits: Column) -> Column:
+        x, y = F.col(f"{n}_a"), F.col(f"{n}_b")
+        return F.greatest(F.lit(0), F.abs(x - y), *edits) <= F.floor(F.greatest(x, y) * (1 - similarity) + 1e-9)
+
+    def only(x: str, y: str) -> Column:
+        return functools.reduce(Column.__add__, [F.bit_count(F.col(f"has_{k}_{x}").bitwiseAND(F.bitwise_not(f"has_{k}_{y}"))) for k in range(BITMAPS)])
+
+    short = F.greatest("n_chars_a", "n_chars_b") <= LONG
+    return F.when(short, room("n_chars")).otherwise(room("n_words", only("a", "b"), only("b", "a")))
+
+
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, h (the text's hash), place and words of each line that is not blank."""
     words = F.transform(F.split(plain(F.col(text)), "\n"), words_of)
@@ -149,7 +184,7 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
 
 
 def entries_of(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each distinct line, with its kept occurrence (doc_id, h, place), SimHash and blocks."""
+    """A row for each distinct line, with its kept occurrence (doc_id, h, place), lengths, SimHash, bitmaps and blocks."""
     hashes = F.sort_array(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
     seen = _lines(docs, text).select(
         F.xxhash64("words").alias("id"),
@@ -159,6 +194,7 @@ def entries_of(docs: DataFrame, text: str) -> DataFrame:
         "place",
         F.xxhash64("doc_id", "h", "place").alias("o"),
         F.size("words").alias("n_words"),
+        F.length(F.array_join("words", " ")).alias("n_chars"),
         hashes.alias("hashes"),
     )
     n = F.size("hashes")
@@ -166,7 +202,8 @@ def entries_of(docs: DataFrame, text: str) -> DataFrame:
     all_words = F.when(_few(n), F.aggregate("hashes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))).alias("all_words")
     seen = seen.select("*", ring, all_words, _one_in(n).alias("one_in"), _by_counter(n, lambda width: _votes(F.col("hashes"), width)).alias("votes"))
     sim = F.when(~_few(n), _by_counter(n, lambda width: _majorities("votes", n.cast("long"), width)))
-    seen = seen.select("id", "check", "o", F.struct("doc_id", "h", "place", "n_words", sim.alias("sim"), _blocks(n).alias("blocks")).alias("line"))
+    bitmaps = [_bitmap(F.col("hashes"), k).alias(f"has_{k}") for k in range(BITMAPS)]
+    seen = seen.select("id", "check", "o", F.struct("doc_id", "h", "place", "n_words", "n_chars", sim.alias("sim"), *bitmaps, _blocks(n).alias("blocks")).alias("line"))
     # one row for each line and task goes into the shuffle
     each = seen.groupBy("id").agg(F.min("o").alias("o"), F.min_by("line", "o").alias("line"), (F.min("check") != F.max("check")).alias("clash"))
     return written(each.select("id", "o", "clash", "line.*"), "line-entries")
@@ -185,25 +222,25 @@ def met(entries: DataFrame) -> DataFrame:
     return written(rows, "line-keys")
 
 
-def stars(rows: DataFrame, entries: DataFrame) -> DataFrame:
+def stars(rows: DataFrame, entries: DataFrame, similarity: float) -> DataFrame:
     """Near pairs (a, b) of an entry and the least one of its key."""
     pairs = rows.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    sims = lambda s: entries.select(F.col("id").alias(s), F.col("sim").alias(f"sim_{s}"))
-    return pairs.join(sims("a"), "a").join(sims("b"), "b").where(may_be_near("sim_a", "sim_b")).select("a", "b")
+    side = lambda s: entries.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in KNOWN])
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_near("sim_a", "sim_b") & may_be_similar(similarity)).select("a", "b")
 
 
-def across(rows: DataFrame, entries: DataFrame, groups: DataFrame) -> DataFrame:
+def across(rows: DataFrame, entries: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """All near pairs (a, b) of a key that lie in different components, each once."""
     named = rows.where("n > 2").join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     named = written(named, "line-met")
     mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     blocks = F.ceil(F.col("n") / DEAL)
-    dealt = named.join(mixed, "key").join(entries.select("id", "sim"), "id")
-    dealt = dealt.select("key", "id", "sim", "c", (blocks - 1).alias("last"), F.pmod(F.xxhash64("id", F.lit(1)), blocks).alias("place"))
-    side = lambda s, *block: dealt.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "sim", "c")], *block)
+    dealt = named.join(mixed, "key").join(entries.select("id", *KNOWN), "id")
+    dealt = dealt.select("key", "id", *KNOWN, "c", (blocks - 1).alias("last"), F.pmod(F.xxhash64("id", F.lit(1)), blocks).alias("place"))
+    side = lambda s, *block: dealt.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", *KNOWN)], *block)
     x = side("a", F.col("place").alias("lo"), F.explode(F.sequence("place", "last")).alias("hi"))
     y = side("b", F.col("place").alias("hi"), F.explode(F.sequence(F.lit(0).cast("long"), "place")).alias("lo"))
-    near = (F.col("c_a") != F.col("c_b")) & may_be_near("sim_a", "sim_b") & ((F.col("lo") < F.col("hi")) | (F.col("id_a") < F.col("id_b")))
+    near = (F.col("c_a") != F.col("c_b")) & may_be_near("sim_a", "sim_b") & may_be_similar(similarity) & ((F.col("lo") < F.col("hi")) | (F.col("id_a") < F.col("id_b")))
     return x.join(y, ["key", "lo", "hi"]).where(near).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
@@ -238,10 +275,10 @@ def links(entries: DataFrame, docs: DataFrame, similarity: float, text: str) ->
         return entries.join(ids, "id").select("id", "doc_id", "h", "place")
 
     rows = met(entries)
-    pairs = written(stars(rows, entries), "line-pairs")
+    pairs = written(stars(rows, entries, similarity), "line-pairs")
     texts = _texts(written(wanted(pairs), "line-ids"), docs, text)
     found = verified(pairs, texts, similarity)
-    pairs = written(across(rows, entries, components(found)), "line-pairs")
+    pairs = written(across(rows, entries, components(found), similarity), "line-pairs")
     # the texts of the first round are not fetched again
     rest = _texts(written(wanted(pairs).join(texts.select("id"), "id", "left_anti"), "line-ids"), docs, text)
     return found.unionByName(verified(pairs, texts.unionByName(rest), similarity))

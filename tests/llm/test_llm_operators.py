@@ -492,6 +492,22 @@ def test_line_groups_against_brute_force_edit_similarity(spark, monkeypatch, dea
     assert sum(frozenset((at[a], at[b])) in met for a, b in brute) >= 0.9 * len(brute)
 
 
+def test_pairs_ruled_out_without_their_texts_are_no_links(spark, monkeypatch):
+    """Of pairs under one key, whose texts were all fetched and joined before, those of other words or lengths go first; no link goes with them."""
+    rng = random.Random(3)
+    lines = changed_lines(rng, 12, 3, (6, 30)) + changed_lines(rng, 8, 3, (40, 150)) + ["w1 w2 " * 70, "w1 w2 " * 60, "w2 w1 " * 70]
+    df = docs(spark, lines)
+    entries = line_dedup.entries_of(df, "text").withColumns({"sim": F.lit(5).cast("long"), "blocks": F.array(F.lit(9).cast("long"))})
+    name = {r.doc_id: r.id for r in entries.collect()}
+    alike = {frozenset((name[i], name[j])) for i in name for j in name if i < j and edit_alike(" ".join(lines[i].split()), " ".join(lines[j].split()))}
+    rows = line_dedup.met(entries)
+    nothing = spark.createDataFrame([], "node long, component long")
+    left = {frozenset((r.a, r.b)) for r in line_dedup.across(rows, entries, nothing, 0.8).collect()}
+    assert alike <= left and len(left) < len(name) * (len(name) - 1) / 8
+    first = rows.first()["first"]
+    assert {frozenset((r.a, r.b)) for r in line_dedup.stars(rows, entries, 0.8).collect()} == {p for p in left if first in p}
+
+
 def test_lines_of_a_key_whose_least_entry_is_unlike_them(spark, monkeypatch):
     a, b = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
     lines = [f"{x} {y}" for x in (a, b) for y in ("one", "two", "three")]
