@@ -188,6 +188,20 @@ def test_seating_has_the_distribution_of_the_model(monkeypatch, narrow):
     assert (np.add.reduceat(sizes, np.cumsum(fewer) - fewer) == 20).all() and fewer.mean() < tables.mean()
 
 
+def test_lm_numbers_and_orders_by_plain_sorts(monkeypatch):
+    """As ``np.unique`` and a stable ``argsort`` have it, which were most of the sorting time and are left for wide keys alone."""
+    rng = np.random.default_rng(4)
+    keys = [rng.integers(0, top, n) for top in (1, 50, 1 << 40, 1 << 62) for n in (0, 1, 2, 999)]
+    want = [(np.unique(k, return_inverse=True), np.argsort(-k, kind="stable")) for k in keys]
+    for k, ((names, at), order) in zip(keys, want):
+        got = lm_score._numbered(k)
+        assert (got[0] == names).all() and (got[1] == at).all() and (lm_score._falling(k) == order).all()
+    monkeypatch.setattr(np, "unique", None)
+    for k in (k for k in keys if len(k) and k.max() < 1 << 40):
+        lm_score._numbered(k)
+    assert lm_score.FLUSH_TEXTS <= 1 << lm_score.TEXT_BITS
+
+
 def test_lm_without_training_rows(spark, empty):
     df = docs(spark, ["a b"])
     row = lm_score.score(df, lm_score.learn(empty)).first()
