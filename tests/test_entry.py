@@ -48,3 +48,16 @@ def test_failed_rows_are_filtered_after_parsing(spark):
     found = entry.queries()["pf19_failed_rows"](spark, str(SF))
     assert "TEST_RESULT" not in found._jdf.queryExecution().logical().toString()
     assert rows(found.toPandas()) == rows(db.execute(entry.oracle_sql()["pf19_failed_rows"]).df())
+
+
+@pytest.mark.parametrize("finished", [(0,), (0, 70), (60, 59), (85, 99), (99,)])
+def test_the_lowest_band_is_told_whichever_bands_occur(spark, tmp_path, finished):
+    """Of the bands that occur, the lowest may be the only one and so the first in order, or be missing."""
+    days = [(f"2024-01-{d + 1:02d}", "F" if i < n else "O", "1-URGENT") for d, n in enumerate(finished) for i in range(100)]
+    df = spark.createDataFrame(days, "o_orderdate string, o_orderstatus string, o_orderpriority string")
+    df.selectExpr("cast(o_orderdate as date) as o_orderdate", "o_orderstatus", "o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = rows(db.execute(entry.oracle_sql()["jn6_ml11_one_hot"]).df())
+    assert rows(entry.queries()["jn6_ml11_one_hot"](spark, str(tmp_path)).toPandas()) == want
+    assert {r[0]: r[2] for r in want} == {n / 100: float(n < 60) for n in finished}
