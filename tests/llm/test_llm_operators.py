@@ -208,6 +208,72 @@ def test_lm_without_training_rows(spark, empty):
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and row.score == pytest.approx(0.0)
 
 
+def _after(model, unknown):
+    """log10 of the probability of each known word, and of any unknown one (0), after each word, from a model's stored rows."""
+    table = model.known.toArrow()
+    main = [i for i in range(table.num_rows) if len(lm_score._row(table, "words", i))]
+    gains, out, back = lm_score.Gains(table, list(range(table.num_rows))), {}, dict.fromkeys(unknown, 0.0)
+    scorers = [lm_score._scorer(table, i, model.kept) for i in main]
+    for s in scorers:
+        back |= dict(zip(s.seats[0].words.tolist(), s.back.tolist()))
+    befores = np.array(sorted(back))
+    for s in scorers:
+        for word in s.seats[0].words:
+            got = s(np.array([word]), np.array([len(befores)]), befores)[0] + gains(lm_score._key(np.repeat(word, len(befores)), befores))
+            out |= {(int(word), int(b)): x - back[int(word)] + back[int(b)] for b, x in zip(befores, got)}
+    none = scorers[0](np.array([0]), np.array([len(befores)]), befores)[0]
+    return out | {(0, int(b)): x + back[int(b)] for b, x in zip(befores, none)}
+
+
+LM_WORDS = "the of nation version station cat at dog x1 longword".split()
+
+
+@pytest.fixture(scope="module")
+def lm_docs(spark):
+    rng = random.Random(8)
+    follow = {"nation": "one one one two", "version": "two two two one"}
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(0, 30)):
+            words.append(rng.choice(LM_WORDS))
+            words += [rng.choice(follow[words[-1]].split())] if words[-1] in follow else []
+        texts.append(" ".join(words))
+    return docs(spark, [*texts, None, "", "unseen words here"])
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_lm_scores_are_those_of_a_distribution_after_each_whole_word(lm_docs, monkeypatch, buckets):
+    """Probabilities of all words after one add up to 1, scores are their sums, and words dealt in either way get the same."""
+    scores = []
+    for frequent in (lm_score.FREQUENT, 2):
+        monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+        model = lm_score.learn(lm_docs.where(lm_score.is_training()), buckets=buckets)
+        tokens = lm_score.Tokens()
+        tokens.add(" ".join([*LM_WORDS, "one two unseen words here"]))
+        ids = dict(zip(tokens.place, tokens.done()[0].tolist()))
+        log = _after(model, [ids[w.encode()] for w in ("unseen", "words", "here")])
+        for before in {b for _, b in log}:
+            assert sum(10**x for (_, b), x in log.items() if b == before) == pytest.approx(1.0, abs=1e-5)
+        rows = lm_score.score(lm_docs, model).collect()
+        texts = {r.doc_id: r.text for r in lm_docs.collect()}
+        for r in rows:
+            words = [ids[w] for w in (texts[r.doc_id] or "").encode().split()]
+            end = ids[lm_score.END]
+            pairs = zip([*words, end], [end, *words])
+            assert r.score == pytest.approx(sum(log.get((w, b)) or log[0, b] for w, b in pairs), abs=1e-4), texts[r.doc_id]
+        scores.append({r.doc_id: r.score for r in rows})
+    assert scores[0] == pytest.approx(scores[1])
+
+
+def test_lm_contexts_are_whole_words(spark, lm_docs):
+    """Words whose last two bytes are the same have contexts of their own, as many as there are words."""
+    model = lm_score.learn(lm_docs.where(lm_score.is_training()))
+    texts = ["nation one", "nation two", "version one", "version two", "station one", "station two"]
+    got = {r.doc_id: r.score for r in lm_score.score(docs(spark, texts), model).collect()}
+    assert got[0] > got[1] + 0.2 and got[3] > got[2] + 0.2  # three times as likely: 0.48
+
+
 # --- 3 ---
 
 
